@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,37 @@ def in_bit_map(bit_map_: Column, col: str, bits: int = 1 << 23) -> Column:
     slot = F.when(at > 0, at - 1).otherwise(F.lit(bits))
     byte = F.conv(F.hex(F.substring(bit_map_, (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.getbit(byte, (slot % 8).cast("int")) == 1
+
+
+def map_texts(df: DataFrame, keep: list[str], text: Column, task: Callable[[], Callable[[list], list]], fields: str) -> DataFrame:
+    """Columns made from a text column in Arrow batches: one pass, no shuffle; `keep` columns go through unchanged.
+
+    task() runs once per task and returns a function from a batch's texts to one list or array per field. fields: DDL.
+    """
+    kept = [f"_k{k}" for k in range(len(keep))]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), fields])
+    types = [ARROW[f.split()[1]] for f in fields.split(", ")]
+    names = [*keep, *(f.split()[0] for f in fields.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = task()
+        for batch in batches:
+            made = work(batch.column("_text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x, t) for x, t in zip(made, types, strict=True))], names=names)
+
+    return df.select(*(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)), text.alias("_text")).mapInArrow(run, schema)
+
+
+ARROW = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+
+
+def parts(texts: list, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch with about `chars` characters each, or one longer text."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > chars:
+            yield start, k
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)

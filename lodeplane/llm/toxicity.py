@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeplane.llm.common import id_sample
+from lodeplane.llm.common import id_sample, map_texts, written
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "ԁ": "d", "ɡ": "g", "ո": "n", "ս": "u", "α": "a", "ο": "o", "ε": "e", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "κ": "k", "χ": "x", "ı": "i", "ⅼ": "l", "ł": "l", "ø": "o"}
@@ -109,32 +109,51 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, settings: Settings =
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y")).where("text is not null and y is not null")
 
+    a, b = F.sum(F.col("n") * F.col("toxic").cast("int")), F.sum(F.col("n") * (~F.col("toxic")).cast("int"))
+
+    def ratio(n1: int, n0: int):
+        return ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c: Counter = Counter()
+        for pdf in batches:
+            for t, y in zip(pdf.text, pdf.y):
+                c[("", y > 0)] += 1
+                c.update((w, y > 0) for w in set(WORD.findall(fold(t))) if not w.isdigit())
+        yield pd.DataFrame([(*k, v) for k, v in c.items()], columns=["word", "toxic", "n"])
+
+    per_word = rows.mapInPandas(words, "word string, toxic boolean, n long").groupBy("word").agg(a.alias("a"), b.alias("b"))
+    n1, n0 = (per_word.where("word = ''").select(F.sum("a"), F.sum("b")).first() or (0, 0))
+    if not n1:
+        return Lexicon()
+    likely = (
+        per_word.where("word != ''").where(F.col("a") >= settings.least_contexts).withColumn("r", ratio(n1, n0 or 0)).where(F.col("r") >= settings.least_ratio / 2)
+        .orderBy(F.desc(F.col("a") * F.log("r")), "word").limit(2 * settings.lexicon_size).collect()
+    )
+    likely = frozenset(r.word for r in likely)
+
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = set()
+            out, size = set(), Counter()
             for t, y in zip(pdf.text, pdf.y):
                 w = ["", *WORD.findall(fold(t)), ""]
-                out.update((w[i], w[i - 1], w[i + 1], y > 0) for i in range(1, len(w) - 1) if not w[i].isdigit())
-            yield pd.DataFrame(list(out), columns=["word", "before", "after", "toxic"])
+                size[y > 0] += len(w) - 2
+                out.update((w[i], w[i - 1], w[i + 1], y > 0, 1) for i in range(1, len(w) - 1) if w[i] in likely)
+            yield pd.DataFrame([*out, *(("", "", "", k, v) for k, v in size.items())], columns=["word", "before", "after", "toxic", "n"])
 
-    seen = rows.mapInPandas(contexts, "word string, before string, after string, toxic boolean").distinct()
-    total = seen.groupBy("toxic").count().collect()
-    n = {r.toxic: r["count"] for r in total}
-    if not n.get(True):
-        return Lexicon()
-    n1, n0 = n.get(True, 0), n.get(False, 0)
-    a, b = F.sum(F.col("toxic").cast("int")), F.sum((~F.col("toxic")).cast("int"))
-    ratio = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
+    made = written(rows.mapInPandas(contexts, "word string, before string, after string, toxic boolean, n long"), "contexts")
+    size = {r.toxic: r.n for r in made.where("word = ''").groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    seen = made.where("word != ''").distinct()
     found = (
         seen.groupBy("word").agg(a.alias("a"), b.alias("b"))
-        .where(F.col("a") >= settings.least_contexts).withColumn("r", ratio).where(F.col("r") >= settings.least_ratio)
+        .where(F.col("a") >= settings.least_contexts).withColumn("r", ratio(size.get(True, 0), size.get(False, 0))).where(F.col("r") >= settings.least_ratio)
         .orderBy(F.desc(F.col("a") * F.log("r")), "word").limit(settings.lexicon_size).collect()
     )
     # A word that stands in other rows' phrases as often as in toxic ones by its neighbours: those two-word phrases are spared.
     weights = {r.word: math.log(r.r) for r in found}
     pairs = (
         seen.where(F.col("word").isin(list(weights)) if weights else F.lit(False))
-        .select("toxic", F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"))
+        .select("toxic", "n", F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"))
         .groupBy("phrase").agg(a.alias("a"), b.alias("b")).where("b >= 3 and a = 0").orderBy(F.desc("b"), "phrase").limit(settings.lexicon_size).collect()
     )
     lexicon = Lexicon(weights, {r.phrase.strip() for r in pairs if " " in r.phrase.strip()})
@@ -179,17 +198,18 @@ def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str
     Null and empty texts, and texts without a word, get the score of a text without a hit. Very long texts cost time in
     proportion to their length. Repeated rows are scored each. The lexicon is bounded by settings.lexicon_size.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task():
         a = automaton(lexicon)
-        for pdf in batches:
-            found = [strength(t or "", a) for t in pdf._text]
-            s = [x for x, *_ in found]
-            p = np.array([_probability(lexicon, x) for x in s], float)
-            yield pd.DataFrame({id_col: pdf._id, "score": p, "predicted": (p >= settings.threshold).astype("int32"), "n_hits": np.array([k for _, k, _ in found], "int64")})
 
-    return df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(scored, f"`{id_col}` {id_type}, score double, predicted int, n_hits long")
+        def run(texts: list) -> list:
+            found = [strength(t or "", a) for t in texts]
+            p = [_probability(lexicon, x) for x, *_ in found]
+            return [p, [int(x >= settings.threshold) for x in p], [k for _, k, _ in found]]
+
+        return run
+
+    return map_texts(df, [id_col], F.col(text_col), task, "score double, predicted int, n_hits long")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Lexicon:
