@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.llm import exact_dedup, toxicity
+from lodeplane.llm import exact_dedup, html_text, language, quality, toxicity
 from lodeplane.llm.common import crc_mod, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, crc_mod("doc_id", 4) != 2)
+    return language.predict(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, settings = table(spark, sf_dir, "documents"), quality.Settings()
+    sample = quality.sample_statistics(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0, F.col("quality").cast("double"), settings)
+    return quality.score(docs, quality.fit(sample, settings)).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max", fold_case=True)
 
@@ -20,6 +36,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_html_extraction": op2_html_extraction,
+    "op5_quality": op5_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_toxicity": op9_toxicity,
 }
