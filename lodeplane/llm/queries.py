@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.llm import exact_dedup, html_text, language, quality, toxicity
+from lodeplane.llm import bpe, exact_dedup, html_text, language, quality, toxicity
 from lodeplane.llm.common import crc_mod, table
 
 
@@ -19,6 +20,15 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Vocabulary:
+    return bpe.Vocabulary(bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = vocabulary()
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), words), words)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, settings = table(spark, sf_dir, "documents"), quality.Settings()
     sample = quality.sample_statistics(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0, F.col("quality").cast("double"), settings)
@@ -38,6 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_quality": op5_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_toxicity": op9_toxicity,
