@@ -66,14 +66,6 @@ def bit_map(df: DataFrame, col: str, bits: int = 1 << 23) -> bytes:
     return bytes(out)
 
 
-def in_bit_map(bit_map_: Column, col: str, bits: int = 1 << 23) -> Column:
-    """Whether the bit of the value's hash is set in the literal map."""
-    at = F.pmod(F.xxhash64(col), F.lit(bits))
-    slot = F.when(at > 0, at - 1).otherwise(F.lit(bits))
-    byte = F.conv(F.hex(F.substring(bit_map_, (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (slot % 8).cast("int")) == 1
-
-
 def map_texts(df: DataFrame, keep: list[str], text: Column, task: Callable[[], Callable[[list], list]], fields: str) -> DataFrame:
     """Columns made from a text column in Arrow batches: one pass, no shuffle; `keep` columns go through unchanged.
 

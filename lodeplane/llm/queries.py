@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.llm import bpe, exact_dedup, html_text, language, quality, toxicity
+from lodeplane.llm import bpe, exact_dedup, html_text, language, media, quality, toxicity
 from lodeplane.llm.common import crc_mod, table
 
 
@@ -35,6 +35,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(sample, settings)).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max", fold_case=True)
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality": op5_quality,
+    "op6_media": op6_media,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_toxicity": op9_toxicity,
 }
