@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.llm import bpe, exact_dedup, html_text, language, media, quality, toxicity
+from lodeplane.llm import bpe, exact_dedup, html_text, language, media, near_dedup, quality, toxicity
 from lodeplane.llm.common import crc_mod, table
 
 
@@ -49,6 +49,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_hits")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
@@ -57,6 +61,7 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL = {
