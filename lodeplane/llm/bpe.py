@@ -106,7 +106,10 @@ def _short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Literals:
-    """The vocabulary as literal arrays, and the expressions that use them."""
+    """The vocabulary's rank table as literal arrays, and the fold that uses it.
+
+    Plans are kept as text by Spark's listeners, so each array stands in a plan once, bound to a lambda variable.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         ranks = vocabulary.ranks
@@ -117,14 +120,8 @@ class Literals:
                 if a is not None and b is not None:
                     pairs[(a, b)] = r
         self.bits = max(10, (2 * len(pairs)).bit_length() - 1)
-        one, two = self._cuckoo(pairs)
-        self.one, self.two = self._longs(one), self._longs(two)
+        self.one, self.two = map(self._longs, self._cuckoo(pairs))
         self.bytes = self._longs([ranks.get(bytes([x]), NONE) for x in range(256)])
-        size = max(ranks.values()) + 1
-        pieces = [""] * size
-        for t, r in ranks.items():
-            pieces[r] = t.hex()
-        self.pieces = F.split(F.lit(",".join(pieces)), ",")
         # Words that are a token although their merges end elsewhere: the token is meant.
         self.whole = {}
         for t, r in ranks.items():
@@ -157,17 +154,20 @@ class Literals:
                 raise ValueError("the rank table doesn't take all pairs")
         return tables[0], tables[1]
 
-    def rank(self, key: Column) -> Column:
+    def rank(self, key: Column, one: Column, two: Column) -> Column:
         """Id of the merged pair (first << 16 | second), which is its rank, or NONE. key: a lambda variable."""
         mask = F.lit((1 << self.bits) - 1).cast("bigint")
         first, second = F.shiftright(key, 16), key.bitwiseAND(F.lit(65535).cast("bigint"))
-        x = F.get(self.one, (first * 40503 + second).bitwiseAND(mask))
-        y = F.get(self.two, (first + second * 48271).bitwiseAND(mask))
+        x = F.get(one, (first * 40503 + second).bitwiseAND(mask))
+        y = F.get(two, (first + second * 48271).bitwiseAND(mask))
         low = F.lit(131071).cast("bigint")
         return F.when(F.shiftright(x, 17) == key, x.bitwiseAND(low)).when(F.shiftright(y, 17) == key, y.bitwiseAND(low)).otherwise(F.lit(NONE).cast("bigint"))
 
     def fold(self, word: Column) -> Column:
         """Ids of a word as decimals joined by commas: the fold of ranked merges over its bytes."""
+        return let(F.struct(self.one.alias("one"), self.two.alias("two")), lambda t: self._fold(word, lambda key: self.rank(key, t["one"], t["two"])))
+
+    def _fold(self, word: Column, rank) -> Column:
         none, one, empty = F.lit(NONE).cast("bigint"), F.lit(1), F.expr("cast(array() as array<bigint>)")
 
         def state(ids: Column, ranks: Column) -> Column:
@@ -179,7 +179,7 @@ class Literals:
                 ids, ranks, low, n = s["ids"], s["ranks"], s["low"], F.size(s["ids"])
                 left = F.when(p > 1, F.array(F.shiftleft(F.get(ids, p - 2), 16).bitwiseOR(low))).otherwise(empty)
                 right = F.when(p + 1 < n, F.array(F.shiftleft(low, 16).bitwiseOR(F.get(ids, p + 1)))).otherwise(empty)
-                new = F.transform(F.concat(left, right), self.rank)
+                new = F.transform(F.concat(left, right), rank)
                 made = F.concat(F.slice(ids, one, p - 1), F.array(low), F.slice(ids, p + 2, n))
                 return let(F.concat(F.slice(ranks, one, F.greatest(p - 2, F.lit(0))), new, F.slice(ranks, p + 2, n)), lambda r: state(made, r))
 
@@ -190,7 +190,7 @@ class Literals:
 
         def run(ids: Column) -> Column:
             keys = F.zip_with(F.slice(ids, one, F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.shiftleft(a, 16).bitwiseOR(b))
-            merged = F.aggregate(F.sequence(one, F.size(ids)), state(ids, F.transform(keys, self.rank)), step, lambda s: s["ids"])
+            merged = F.aggregate(F.sequence(one, F.size(ids)), state(ids, F.transform(keys, rank)), step, lambda s: s["ids"])
             return F.array_join(merged.cast("array<string>"), ",")
 
         return let(start, run)
@@ -201,9 +201,14 @@ class Literals:
             out = F.when(word == w, F.lit(r)).otherwise(out)
         return out
 
-    def decode_ids(self, ids: Column) -> Column:
-        """Bytes of decimal ids joined by commas."""
-        return F.unhex(F.when(ids == "", "").otherwise(F.array_join(F.transform(F.split(ids, ","), lambda x: F.element_at(self.pieces, x.cast("int") + 1)), "")))
+
+def decode(ids: Column, vocabulary: Vocabulary) -> Column:
+    """Bytes of decimal ids joined by commas: their binary pieces, from a literal array, concatenated."""
+    pieces = [""] * (max(vocabulary.ranks.values()) + 1)
+    for t, r in vocabulary.ranks.items():
+        pieces[r] = t.hex()
+    table = F.split(F.lit(",".join(pieces)), ",")
+    return F.unhex(F.when(ids == "", "").otherwise(F.array_join(F.transform(F.split(ids, ",").cast("array<int>"), lambda x: F.get(table, x)), "")))
 
 
 def let(value: Column, body) -> Column:
@@ -274,11 +279,10 @@ def ids_of(text: str, find, table: dict[str, str], merged: dict[str, str], ranks
 
 def digests(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -> DataFrame:
     """Tokens, the digest of the ids and the digest of the decoded bytes of each encoded row."""
-    lit = Literals(vocabulary)
     ids = F.col("ids")
     return encoded.select(
         id_col,
         "n_tokens",
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(lit.decode_ids(ids), 256).alias("decoded_sha256"),
+        F.sha2(decode(ids, vocabulary), 256).alias("decoded_sha256"),
     )

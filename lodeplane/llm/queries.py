@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.llm import bpe, exact_dedup, html_text, language, media, near_dedup, quality, toxicity
+from lodeplane.llm import bpe, exact_dedup, html_text, language, media, near_dedup, quality, substrings, toxicity
 from lodeplane.llm.common import crc_mod, table
 
 
@@ -43,6 +43,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max", fold_case=True)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_media": op6_media,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
