@@ -277,12 +277,12 @@ def ids_of(text: str, find, table: dict[str, str], merged: dict[str, str], ranks
     return ",".join(out)
 
 
-def digests(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -> DataFrame:
-    """Tokens, the digest of the ids and the digest of the decoded bytes of each encoded row."""
+def digest_columns(vocabulary: Vocabulary) -> dict[str, Column]:
+    """The digest of the ids and the digest of the decoded bytes, over a column ids."""
     ids = F.col("ids")
-    return encoded.select(
-        id_col,
-        "n_tokens",
-        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(ids, vocabulary), 256).alias("decoded_sha256"),
-    )
+    return {"ids_sha256": F.sha2(ids.cast("binary"), 256), "decoded_sha256": F.sha2(decode(ids, vocabulary), 256)}
+
+
+def digests(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -> DataFrame:
+    """Tokens and digests of each encoded row."""
+    return encoded.select(id_col, "n_tokens", *(c.alias(n) for n, c in digest_columns(vocabulary).items()))
