@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.llm import bpe, exact_dedup, html_text, language, media, near_dedup, quality, substrings, toxicity
+from lodeplane.llm import bpe, exact_dedup, html_text, language, media, mixing, near_dedup, quality, substrings, toxicity
 from lodeplane.llm.common import crc_mod, table
 
 
@@ -29,6 +29,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), words), words)
 
 
+#: Shares of all tokens that documents of either quality should have.
+TARGETS = {"high": 0.95, "low": 0.05}
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of the mix: the quality that labels give."""
+    return table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.when(F.col("quality") == 1, "high").otherwise("low").alias("domain"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rated(table(spark, sf_dir, "documents"), domains(spark, sf_dir), TARGETS)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, settings = table(spark, sf_dir, "documents"), quality.Settings()
     sample = quality.sample_statistics(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0, F.col("quality").cast("double"), settings)
@@ -61,6 +74,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_media": op6_media,
     "op7_exact_dedup": op7_exact_dedup,
