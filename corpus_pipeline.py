@@ -6,10 +6,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodeplane.llm import exact_dedup, toxicity
+from lodeplane.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from lodeplane.llm.common import crc_mod, table, written
+from lodeplane.llm.queries import TARGETS, domains, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,24 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs, keep="max", fold_case=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the least id."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says; the classifier is fitted on labelled documents of the stage's own input."""
+    return mixing.mixed(docs, domains(spark, sf_dir), TARGETS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document, their digest, and the digest of the bytes decoded from them."""
+    words = vocabulary()
+    encoded = bpe.encode(docs, words)
+    return encoded.select("doc_id", "n_tokens", "ids", *(c.alias(n) for n, c in bpe.digest_columns(words).items()))
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("byte_bpe", encode)]
 
 #: The toxicity stage learns a lexicon and the encoding stage merges by ranks: SQL expresses neither.
 ORACLE_SQL = None
