@@ -136,8 +136,9 @@ def kmeans_update(spark, d):
 
 
 def kmeans_steps3(spark, d):
-    p = trade_points(spark, d)
-    return tidy(clusters.kmeans(p, n_of(p), K, STEPS).centroids)
+    """Over embeddings: on a lattice, equal distances to two centroids would hang on the order of sums."""
+    p = _ordered(embedding_points(spark, d))
+    return tidy(clusters.kmeans(p, n_of(p), K, STEPS, ordinal="ord").centroids)
 
 
 def kmeans_empty_cluster(spark, d):

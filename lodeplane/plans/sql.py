@@ -12,7 +12,7 @@ def r(x: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0e0"
 
 
-AT = "CAST((42 + 13 * id) % 10000 AS DOUBLE) / 50e0 - 100e0 AS x, CAST((42 + 17 * id) % 10000 AS DOUBLE) / 50e0 - 100e0 AS y"
+AT = "round(CAST((42 + 13 * id) % 10000 AS DOUBLE) / 50e0 - 100e0, 2) AS x, round(CAST((42 + 17 * id) % 10000 AS DOUBLE) / 50e0 - 100e0, 2) AS y"
 
 GRAPH_TAIL = """
 known AS (SELECT e.* FROM edges e WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)),
@@ -196,7 +196,7 @@ SQL = {
     "kmeans_seed": f"WITH {POINTS}, {seeds('pts', iteration=7)} SELECT cid, {r('x')} AS x, {r('y')} AS y, mass, cnt FROM c0",
     "kmeans_assign": f"WITH {POINTS}, {seeds('pts')}, {kstep('pts', 0)} SELECT id, cid FROM a0",
     "kmeans_update": f"WITH {POINTS}, {seeds('pts')}, {kstep('pts', 0)} {rounded('x y mass', 'c1', 'cid, cnt')}",
-    "kmeans_steps3": f"WITH {POINTS}, {seeds('pts')}, {', '.join(kstep('pts', k) for k in range(STEPS))} {rounded('x y mass', f'c{STEPS}', 'cid, cnt')}",
+    "kmeans_steps3": f"WITH pts AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, 1e0 AS mass FROM embeddings), {seeds('pts')}, {', '.join(kstep('pts', k) for k in range(STEPS))} {rounded('x y mass', f'c{STEPS}', 'cid, cnt')}",
     "kmeans_empty_cluster": f"WITH {POINTS}, c0 AS (SELECT * FROM (VALUES (0, 0e0, 0e0), (1, 50e0, 50e0), (2, 1e6, 1e6)) v(cid, x, y)), {kstep('pts', 0)} {rounded('x y mass', 'c1', 'cid, cnt')}",
     "kmeans_sorted_nodes": f"WITH {POINTS}, {seeds('pts')}, {kstep('pts', 0)} SELECT row_number() OVER (ORDER BY cid, id) - 1 AS pos, id, cid FROM a0",
     "kmeans_offsets": f"WITH {POINTS}, {seeds('pts')}, {kstep('pts', 0)} SELECT cid, cnt, CAST(coalesce(sum(cnt) OVER (ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM c1",

@@ -56,7 +56,7 @@ def read_json_graph(spark: SparkSession, path: str) -> Graph:
 
 def spread_positions(df: DataFrame, seed: int = 42, id_col: str = "id") -> DataFrame:
     """x and y by an integer rule of the id: between -100 and 100, equal for ids that are 10,000 apart."""
-    at = lambda k: ((F.lit(seed) + F.lit(k) * F.col(id_col)) % 10000).cast("double") / 50.0 - 100.0
+    at = lambda k: F.round(((F.lit(seed) + F.lit(k) * F.col(id_col)) % 10000).cast("double") / 50.0 - 100.0, 2)
     return df.withColumn("x", at(13)).withColumn("y", at(17))
 
 
