@@ -101,10 +101,11 @@ def suffix_array(t: bytes, depth: int) -> np.ndarray:
     of a smaller bucket, so going through the buckets upwards, each bucket's predecessors fall into place in its order.
     """
     b = np.frombuffer(t, np.uint8)
-    larger = np.r_[b[:-1] > b[1:], False]
+    larger = np.r_[b[:-1] > b[1:], True]  # what follows the last suffix is empty, so less than anything
     direct = np.array(sorted(np.flatnonzero(~larger).tolist(), key=lambda i: t[i : i + depth]), np.int64)
     ends = np.searchsorted(b[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
+    induced[b[-1]].append(np.array([len(b) - 1]))
     out = []
     for c in range(256):
         bucket = np.concatenate([*induced[c], direct[ends[c] : ends[c + 1]]])
