@@ -13,6 +13,7 @@ from lodeplane.operators import clusters, diagnostics, forces, graphs, ordering,
 from lodeplane.operators.kernel import RowKernel
 from lodeplane.operators.motion import move
 from lodeplane.plans.layout import Context, Layout, step
+from lodeplane.plans.storage import cut
 from lodeplane.settings import Clusters, QuadTree, Settings
 from lodeplane.sources import clustered_graph, embedding_points, event_graph, nation_graph, scan_edges, spread_positions, table, trade_graph
 
@@ -33,6 +34,12 @@ def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graphs.initial_state(g.nodes, g.edges)
 
 
+def settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same as checkpoints, as the layout keeps them, for plans that read the state several times."""
+    state, adj = trade(spark, sf_dir)
+    return cut(state), cut(adj)
+
+
 def trade_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as points numbered 0 to n - 1, of mass 1 to 3."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"))
@@ -109,11 +116,11 @@ def quadtree_interactions(spark, d):
 
 
 def repulsion_quadtree(spark, d):
-    return tidy(forces.repulsion_quad_tree(trade(spark, d)[0], DEPTH, RING), FORCE_DIGITS)
+    return tidy(forces.repulsion_quad_tree(cut(trade(spark, d)[0]), DEPTH, RING), FORCE_DIGITS)
 
 
 def repulsion_quadtree_fine(spark, d):
-    return tidy(forces.repulsion_quad_tree(trade(spark, d)[0], DEPTH, 2), FORCE_DIGITS)
+    return tidy(forces.repulsion_quad_tree(cut(trade(spark, d)[0]), DEPTH, 2), FORCE_DIGITS)
 
 
 def n_of(df: DataFrame) -> int:
@@ -172,11 +179,11 @@ def permutation_check(spark, d):
 
 
 def repulsion_allpairs(spark, d):
-    return tidy(forces.repulsion_all_pairs(trade(spark, d)[0]), FORCE_DIGITS)
+    return tidy(forces.repulsion_all_pairs(cut(trade(spark, d)[0])), FORCE_DIGITS)
 
 
 def repulsion_allpairs_sizes(spark, d):
-    return tidy(forces.repulsion_all_pairs(trade(spark, d)[0], adjust_sizes=True), FORCE_DIGITS)
+    return tidy(forces.repulsion_all_pairs(cut(trade(spark, d)[0]), adjust_sizes=True), FORCE_DIGITS)
 
 
 def _ordered(state: DataFrame) -> DataFrame:
@@ -191,18 +198,18 @@ def _clustered(state: DataFrame) -> clusters.Clustering:
 
 
 def repulsion_kmeans(spark, d):
-    s = trade(spark, d)[0]
+    s = cut(trade(spark, d)[0])
     return tidy(forces.repulsion_centroids(s, _clustered(s).centroids), FORCE_DIGITS)
 
 
 def repulsion_kmeans_grouped(spark, d):
-    s = trade(spark, d)[0]
+    s = cut(trade(spark, d)[0])
     c = _clustered(s)
     return tidy(forces.repulsion_grouped(s, c.centroids, c.assign), FORCE_DIGITS)
 
 
 def repulsion_kmeans_grouped_sizes(spark, d):
-    s = trade(spark, d)[0]
+    s = cut(trade(spark, d)[0])
     c = _clustered(s)
     return tidy(forces.repulsion_grouped(s, c.centroids, c.assign, adjust_sizes=True), FORCE_DIGITS)
 
@@ -234,7 +241,7 @@ def _moved(adjust_sizes: bool) -> Callable:
 
 def _step(settings: Settings) -> Callable:
     def query(spark, d):
-        s, adj = trade(spark, d)
+        s, adj = settled(spark, d)
         found = _clustered(s) if isinstance(settings.repulsion, Clusters) else None
         n = n_of(s)
         mean = graphs.mean_mass(s).first()[0] if settings.outbound_attraction else 1.0
