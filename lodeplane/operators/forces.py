@@ -11,6 +11,8 @@ from lodeplane.plans.storage import all_pairs
 #: Turn by which coincident points are moved apart, times their ordinal: the golden angle.
 GOLDEN = 2.399963229728653
 COLLISION = 100.0
+#: Shares of the square's side below which a node counts as lying on a barycentre, whose sums leave such traces.
+TOUCH = 1e-9
 
 
 def _summed(pairs: DataFrame, factor: Column) -> DataFrame:
@@ -83,7 +85,7 @@ def repulsion_quad_tree(state: DataFrame, depth: int, ring: int = 1, scaling: fl
     dx, dy = F.col("x") - F.col("sx") / F.col("cm"), F.col("y") - F.col("sy") / F.col("cm")
     away = F.col("side") / F.pow(F.lit(2.0), F.col("level") + 1) * 0.01
     turn = F.col("id").cast("double") * GOLDEN
-    f = f.withColumn("bx", dx).withColumn("by", dy).withColumn("on", F.col("bx") * F.col("bx") + F.col("by") * F.col("by") <= 0)
+    f = f.withColumn("bx", dx).withColumn("by", dy).withColumn("on", F.col("bx") * F.col("bx") + F.col("by") * F.col("by") <= F.col("side") * F.col("side") * (TOUCH * TOUCH))
     f = f.withColumn("ddx", F.when(F.col("on"), F.cos(turn) * away).otherwise(F.col("bx"))).withColumn("ddy", F.when(F.col("on"), F.sin(turn) * away).otherwise(F.col("by")))
     return _summed(f, F.lit(scaling) * F.col("mass") * F.col("cm") / (F.col("ddx") * F.col("ddx") + F.col("ddy") * F.col("ddy")))
 

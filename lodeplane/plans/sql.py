@@ -60,8 +60,8 @@ felt AS (SELECT l.id, l.x, l.y, l.mass, l.side, l.level,
         AND c.cx // 2 BETWEEN l.cx // 2 - {ring} AND l.cx // 2 + {ring} AND c.cy // 2 BETWEEN l.cy // 2 - {ring} AND l.cy // 2 + {ring}
         AND (l.level = {depth - 1} OR greatest(abs(c.cx - l.cx), abs(c.cy - l.cy)) > {ring})),
 away AS (SELECT *, x - sx / cm AS bx, y - sy / cm AS by_ FROM felt WHERE cnt > 0 AND cm > 0),
-turned AS (SELECT *, CASE WHEN bx * bx + by_ * by_ <= 0 THEN cos(id * 2.399963229728653e0) * side / pow(2e0, level + 1) * 0.01e0 ELSE bx END AS ddx,
-        CASE WHEN bx * bx + by_ * by_ <= 0 THEN sin(id * 2.399963229728653e0) * side / pow(2e0, level + 1) * 0.01e0 ELSE by_ END AS ddy FROM away),
+turned AS (SELECT *, CASE WHEN bx * bx + by_ * by_ <= side * side * 1e-18 THEN cos(id * 2.399963229728653e0) * side / pow(2e0, level + 1) * 0.01e0 ELSE bx END AS ddx,
+        CASE WHEN bx * bx + by_ * by_ <= side * side * 1e-18 THEN sin(id * 2.399963229728653e0) * side / pow(2e0, level + 1) * 0.01e0 ELSE by_ END AS ddy FROM away),
 rep AS (SELECT id, sum(ddx * mass * cm / (ddx * ddx + ddy * ddy)) AS fx, sum(ddy * mass * cm / (ddx * ddx + ddy * ddy)) AS fy FROM turned GROUP BY id)"""
 
 
