@@ -56,14 +56,14 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community): label propagation, each node taking the heaviest label around it and its own, the least among equals.
 
-    An approximation of modularity clustering: rounds are synchronous and end when no label changes.
+    An approximation of modularity clustering. Weights are summed to 9 digits, so ties don't hang on the order; rounds are synchronous and end when no label changes.
     """
     adj = adjacency(edges)
-    own = F.lit(1e-9)
+    own = F.lit(1e-6)
     label = cut(nodes.select("id", F.col("id").alias("community")))
     for _ in range(rounds):
         votes = adj.join(label.withColumnRenamed("id", "other"), "other").select("id", "community", "weight").union(label.select("id", "community", own))
-        best = votes.groupBy("id", "community").agg(F.sum("weight").alias("w")).groupBy("id").agg(F.max(F.struct("w", (F.lit(0) - F.col("community")).alias("c"))).alias("b"))
+        best = votes.groupBy("id", "community").agg(F.round(F.sum("weight"), 9).alias("w")).groupBy("id").agg(F.max(F.struct("w", (F.lit(0) - F.col("community")).alias("c"))).alias("b"))
         new = cut(best.select("id", (F.lit(0) - F.col("b.c")).alias("next")).join(label, "id"))
         label = new.select("id", F.col("next").alias("community"))
         if not new.where("next != community").limit(1).count():

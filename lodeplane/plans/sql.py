@@ -171,6 +171,20 @@ def uniform(seed: str, k: str) -> str:
     return f"(SELECT CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296e0 FROM (SELECT {u} AS u FROM (SELECT {t} AS t FROM (SELECT {a} AS a))))"
 
 
+def communities(rounds: int = 10) -> str:
+    out = [NATION, "m0 AS (SELECT id, id AS community FROM nodes)"]
+    for k in range(rounds):
+        out.append(f"""m{k + 1} AS MATERIALIZED (SELECT id, community FROM (SELECT id, community, row_number() OVER (PARTITION BY id ORDER BY w DESC, community) AS o FROM
+    (SELECT id, community, round(sum(weight), 9) AS w FROM (SELECT a.id, m.community, a.weight FROM adj a JOIN m{k} m ON m.id = a.other UNION ALL SELECT id, community, 1e-6 FROM m{k}) GROUP BY 1, 2)) WHERE o = 1)""")
+    return ",\n".join(out)
+
+
+def random_edges(order: int, size: int, clusters: int, density: str, seed: int) -> str:
+    draw = lambda j: uniform(str(seed + 1), f"id * 4 + {j}")
+    return f"""SELECT src, CASE WHEN {draw(1)} < {density}e0 THEN src % {clusters} + {clusters} * CAST(floor({draw(2)} * (({order - 1} - src % {clusters}) // {clusters} + 1)) AS BIGINT)
+        ELSE CAST(floor({draw(3)} * {order}) AS BIGINT) END AS dst FROM (SELECT id, CAST(floor({draw(0)} * {order}) AS BIGINT) AS src FROM range(0, {size}) t(id))"""
+
+
 _components, _label = labels()
 _values = "SELECT id, nearest FROM (SELECT a.id, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS nearest FROM pts a JOIN pts b ON a.id <> b.id GROUP BY a.id)"
 
@@ -235,4 +249,11 @@ SQL = {
     "prng": f"SELECT k, round({uniform('12345', 'k')}, 9) + 0e0 AS u FROM range(0, 1000) t(k)",
     "write_back": f"WITH {TRADE} SELECT id, {r('CASE WHEN id < 100 THEN cos(id * (2e0 * pi()) / 100e0) * 10e0 ELSE x END')} AS x, {r('CASE WHEN id < 100 THEN sin(id * (2e0 * pi()) / 100e0) * 10e0 ELSE y END')} AS y, {r('size')} AS size FROM nodes",
     "neighbour_lists": f"WITH {NATION}, d AS (SELECT n.id, count(a.id) AS cnt FROM nodes n LEFT JOIN adj a ON a.id = n.id GROUP BY n.id) SELECT id, cnt, CAST(coalesce(sum(cnt) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", cnt AS listed FROM d",
+    "clustered_graph_stats": f"SELECT count(*) AS edges, CAST(sum(CASE WHEN src % 5 = dst % 5 THEN 1 ELSE 0 END) AS BIGINT) AS inside, max(src) AS most, max(dst) AS most_dst FROM ({random_edges(1000, 5000, 5, '0.7', 42)})",
+    "community_labels": f"WITH {communities()} SELECT id, community FROM m10",
+    "packed_communities": f"""WITH {communities()},
+c AS (SELECT community, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, community) - 1 AS rank FROM m10 GROUP BY community),
+p AS (SELECT m.id, n, CAST(rank AS DOUBLE) AS i, CAST(row_number() OVER (PARTITION BY m.community ORDER BY m.id) - 1 AS DOUBLE) AS k FROM m10 m JOIN c USING (community))
+SELECT id, size, {r('(cos(i * 2.399963229728653e0) * sqrt(i) * 3e0 * sqrt(n) + cos(k * 2.399963229728653e0) * sqrt(k)) * 100e0')} AS x, {r('(sin(i * 2.399963229728653e0) * sqrt(i) * 3e0 * sqrt(n) + sin(k * 2.399963229728653e0) * sqrt(k)) * 100e0')} AS y FROM p JOIN nodes USING (id)""",
+    "layout_run_snapshots": "SELECT CAST(i AS BIGINT) AS iterations, (SELECT count(*) FROM nation) AS nodes FROM (VALUES (2), (4), (4)) v(i)",
 }
