@@ -27,7 +27,7 @@ class Settings:
     #: Labelled rows that the classifier is fitted on, at most: the ones of smallest hashed id.
     sample_rows: int = 20_000
     ridge: float = 1.0
-    #: Pull of each rate to 1, step length, steps at most, and the residual (share of all tokens) at which steps end.
+    #: Pull of each rate to 1, step length, steps at most, and the change of a domain's share at which steps end.
     pull: float = 1e-3
     step: float = 0.95
     steps: int = 40
@@ -82,7 +82,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     chosen = id_sample(rows, "_lid", s.sample_rows)
     sample = docs.select(F.col(id_col).alias("_lid"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_lid")  # sample_rows rows of about 20 bytes
     got = map_texts(sample, ["_d"], F.col("_text"), lambda: lambda texts: [[statistics(t) for t in texts]], "x array<double>").toArrow()  # sample_rows rows of 24 numbers
-    x = np.array(got.column("x").to_pylist()).reshape(-1, len(NAMES))
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
     y = np.array([domains.index(d) for d in got.column("_d").to_pylist()], int)
     order = np.lexsort([*x.T, y])  # the same sums for any order of arrival
     x, y = x[order], y[order]
@@ -120,7 +120,7 @@ def fit_rates(member: DataFrame, model: Model, targets: dict[str, float], s: Set
     goal = np.array([targets[d] for d in model.domains]) / sum(targets.values())
     mix = Mix(model, [], s)
     k = len(goal)
-    start = None
+    start, last = None, np.full(k, np.inf)
     for _ in range(s.steps):
         r = mix.folded_rate("p")
         row = member.select("n_tokens", "p", r.alias("r")).agg(F.sum("n_tokens").alias("t"), *(F.sum(F.col("n_tokens") * F.col("p")[j] * F.col("r")).alias(f"d{j}") for j in range(k))).first()
@@ -128,8 +128,9 @@ def fit_rates(member: DataFrame, model: Model, targets: dict[str, float], s: Set
             break
         share = np.array([row[f"d{j}"] for j in range(k)]) / row.t
         start = np.maximum(share, 1e-6) if start is None else start
-        if np.abs(share - goal).max() < s.enough:
+        if np.abs(share - last).max() < s.enough or np.abs(share - goal).max() < s.enough:
             break
+        last = share
         mix.residuals.append([round(x, 12) for x in ((share - goal) / start).tolist()])
     return mix
 
