@@ -14,8 +14,20 @@ from pyspark.sql import functions as F
 from lodeplane.workers import reach
 
 
+#: Texts can be long: with Spark's default of 10,000 rows, a batch and what is made of it fill a worker's memory.
+BATCH_ROWS, SPARK_DEFAULT = "1000", "10000"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless it has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == SPARK_DEFAULT:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reach(spark)
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,6 +85,7 @@ def map_texts(df: DataFrame, keep: list[str], text: Column, task: Callable[[], C
 
     task() runs once per task and returns a function from a batch's texts to one list or array per field. fields: DDL.
     """
+    modest_batches(df.sparkSession)
     kept = [f"_k{k}" for k in range(len(keep))]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), fields])
     types = [ARROW[f.split()[1]] for f in fields.split(", ")]
