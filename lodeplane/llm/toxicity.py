@@ -29,6 +29,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 WORD = re.compile(r"[^\W_]+")
 #: A run that may hold a disguised word: letters with digits or signs among them. A sign counts only before a letter or digit.
 DISGUISED = re.compile(r"(?:[^\W_]|[@$!|](?=[^\W_]))+")
+SIGNS = re.compile(r"[@$!|]")
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _LOOKS = str.maketrans(HOMOGLYPHS)
 _SUBS = str.maketrans(SUBSTITUTES)
@@ -59,15 +60,18 @@ class Lexicon:
 def fold(text: str) -> str:
     """Lower case without invisible signs, look-alikes as Latin letters, and disguised words with letters for digits.
 
-    A run with digits or signs is folded only if it has a letter too, so plain numbers stay numbers.
+    A run with digits or signs is folded only if it has a letter too, so plain numbers stay numbers. A run with signs is
+    given both folded and cut at the signs, as in `id!ot` and `that!idiot`.
     """
     text = INVISIBLE.sub("", text).lower().translate(_LOOKS)
 
     def letters(m: re.Match) -> str:
         run = m.group()
-        if run.isalpha():
+        if run.isalpha() or not any(c.isalpha() for c in run):
             return run
-        return run.translate(_SUBS) if any(c.isalpha() for c in run) else run
+        # a sign may stand for a letter or between two words: both readings
+        parts = SIGNS.sub(" ", run)
+        return run.translate(_SUBS) if parts == run else f"{run.translate(_SUBS)} {parts}"
 
     return DISGUISED.sub(letters, text)
 
@@ -127,8 +131,8 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, settings: Settings =
     if not n1:
         return Lexicon()
     likely = (
-        per_word.where("word != ''").where(F.col("a") >= settings.least_contexts).withColumn("r", ratio(n1, n0 or 0)).where(F.col("r") >= settings.least_ratio / 2)
-        .orderBy(F.desc(F.col("a") * F.log("r")), "word").limit(2 * settings.lexicon_size).collect()
+        per_word.where("word != ''").where("a >= 2").withColumn("r", ratio(n1, n0 or 0)).where(F.col("r") >= settings.least_ratio / 4)
+        .orderBy(F.desc(F.col("a") * F.log("r")), "word").limit(5 * settings.lexicon_size).collect()
     )
     likely = frozenset(r.word for r in likely)
 

@@ -320,7 +320,8 @@ def test_suffix_array(parts):
 
 
 def test_fold():
-    assert toxicity.fold("You 1d10t! $tupid idiоt 2019") == "you idiot! stupid idiot 2019"
+    assert toxicity.fold("You 1d10t! idiоt 2019") == "you idiot! idiot 2019"
+    assert toxicity.fold("$tupid").split() == ["stupid", "tupid"] and "idiot" in toxicity.fold("that!idiot").split() and "idiot" in toxicity.fold("id!ot").split()
     assert toxicity.fold("lo​ser") == "loser"
 
 
