@@ -14,13 +14,16 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeplane.llm.common import id_sample, map_texts
+from lodeplane.llm.common import id_sample, map_texts, written
 
 # Fixed value: the code points that the pattern's \s stands for (Unicode's White_Space).
 WHITE = "\\t\\n\\u000b\\f\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -31,7 +34,9 @@ NONE = 1 << 30
 @dataclass(frozen=True)
 class Settings:
     #: Words of the table of frequent words.
-    words: int = 100_000
+    words: int = 50_000
+    #: Words outside of the table that a task remembers between batches, about.
+    cached: int = 100_000
     #: Documents, of smallest hashed id, whose words fill that table. It saves time and never changes a result.
     sample_rows: int = 20_000
     #: Longer words (in bytes) stay out of the table: the fold is quadratic in a word's length, the heap n log n.
@@ -141,18 +146,18 @@ class Literals:
 
     def _cuckoo(self, pairs: dict) -> tuple[list[int], list[int]]:
         """Every pair in one of its two slots, as (first << 33 | second << 17 | merged)."""
-        tables = [[-1] * (1 << self.bits), [-1] * (1 << self.bits)]
+        tables = np.full((2, 1 << self.bits), -1, np.int64)
         for (a, b), r in pairs.items():
             entry, side = (a << 33) | (b << 17) | r, 0
             for _ in range(500):
                 at = self._slots(entry >> 33, (entry >> 17) & 0xFFFF)[side]
-                tables[side][at], entry = entry, tables[side][at]
+                entry, tables[side, at] = int(tables[side, at]), entry
                 if entry < 0:
                     break
                 side = 1 - side
             else:
                 raise ValueError("the rank table doesn't take all pairs")
-        return tables[0], tables[1]
+        return tables[0].tolist(), tables[1].tolist()
 
     def rank(self, key: Column, one: Column, two: Column) -> Column:
         """Id of the merged pair (first << 16 | second), which is its rank, or NONE. key: a lambda variable."""
@@ -243,7 +248,11 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
         .where(F.octet_length("w") <= settings.longest).groupBy("w").count()
         .orderBy(F.desc("count"), "w").limit(settings.words)
     )
-    known = {r.w: r.ids for r in words.select("w").repartition(2 * df.sparkSession.sparkContext.defaultParallelism).select("w", lit.encode_word(F.col("w")).alias("ids")).collect()}  # `words` rows
+    # a written table and a plan without an exchange: the plan, whose text holds the rank table, is then kept once
+    words = written(words.select("w").repartition(2 * df.sparkSession.sparkContext.defaultParallelism), "words")
+    with short_plan_texts(df.sparkSession):
+        folded = words.select("w", lit.encode_word(F.col("w")).alias("ids")).toArrow()  # `words` rows
+    known = dict(zip(folded.column("w").to_pylist(), folded.column("ids").to_pylist(), strict=True))
     shared = df.sparkSession.sparkContext.broadcast((vocabulary.ranks, known))  # both of fixed size
     pattern = vocabulary.java_pattern()
 
@@ -253,7 +262,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
         merged: dict[str, str] = {}  # rare words of the texts just seen
 
         def run(texts: list) -> list:
-            if len(merged) > settings.words:
+            if len(merged) > settings.cached:
                 merged.clear()
             ids = [ids_of(t, find, table, merged, ranks) for t in texts]
             return [ids, [x.count(",") + (x != "") for x in ids]]
@@ -263,6 +272,18 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
     return map_texts(rows, ["_id"], F.col("_text"), task, "ids string, n_tokens long").withColumnRenamed("_id", id_col)
 
 
+@contextmanager
+def short_plan_texts(spark) -> Iterator[None]:
+    """For an action whose plan has large literals: Spark keeps the texts of a thousand plans in the driver's memory."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "65536")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ids_of(text: str, find, table: dict[str, str], merged: dict[str, str], ranks: dict[bytes, int]) -> str:
     """Ids of a text; merged takes the words that neither dictionary has yet."""
     words = find(text)
