@@ -4,7 +4,8 @@ A document is the sequence of its k-word shingles, each labelled with its occurr
 smallest labelled shingles under one hash function and keeps their text order, so documents agree on it if they share these
 shingles in the same order. Documents that agree on a sketch are candidates; each is compared with its bucket's leader, by
 a banded alignment of the two shingle sequences, over several rounds with new leaders for those that did not match. Links
-give classes by connected components.
+give components. Where a bucket still holds several of them, all its pairs across components are tested: in blocks, by
+the exact number of common shingles and then by alignment. So the classes are those of all pairs that share a sketch.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ class Settings:
     #: Sketches, and labelled shingles in each. At similarity 0.8 a pair agrees on a sketch with 0.8^3, and on none of 20 with 6e-7.
     sketches: int = 20
     shingles: int = 3
-    #: Rounds of leaders.
+    #: Rounds of leaders: they link most members cheaply, and what they leave is tested pair by pair.
     rounds: int = 3
+    #: Members of a block in which pairs are tested.
+    block: int = 200
     map_bits: int = 1 << 23
 
 
@@ -116,6 +119,90 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return found if found >= least - 1e-12 else 0.0
 
 
+def across(seqs: list, comps: list, seq: list[np.ndarray], least: float, width: int = 4096) -> list[tuple[int, int]]:
+    """Pairs of similarity `least` or more that connect whatever such pairs between different `comps` connect.
+
+    Common shingles are counted for all pairs by matrix products over `width` shingles at a time; at least as many must be
+    common as must be aligned, so only pairs with enough are aligned, and only while they are not connected.
+    """
+    size = np.array([len(h) for h in seq])
+    who = np.repeat(np.arange(len(seq)), size)
+    token, at, often = np.unique(np.concatenate(seq), return_inverse=True, return_counts=True)
+    # a shingle of one member is common to no pair
+    number = np.cumsum(often > 1) - 1
+    used = often[at] > 1
+    who, at = who[used], number[at[used]]
+    order = np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    common = np.zeros((len(seq), len(seq)), np.float32)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, z = np.searchsorted(at, (start, start + width))
+        m = np.zeros((len(seq), width), np.float32)
+        m[who[a:z], at[a:z] - start] = 1
+        common += m @ m.T
+    need = least / (1 + least) * (size[:, None] + size[None, :])
+    root = {c: c for c in comps}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    found = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(common >= need - 1e-9, 1))), strict=True):
+        x, y = top(comps[i]), top(comps[j])
+        if x != y and similarity(seq[i], seq[j], least):
+            root[y] = x
+            found.append((seqs[i], seqs[j]))
+    return found
+
+
+def remaining(left: DataFrame, root: DataFrame, content: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between the components of `root` inside each bucket of `left` (key, seq, n): no pair is left out.
+
+    A bucket's members are dealt into blocks, those of a large component into blocks of their own, and each two blocks
+    meet in one task, but for two of the same component. Members of large buckets meet only where lengths allow it.
+    """
+    member = left.join(root.withColumnRenamed("node", "seq"), "seq", "left").select("key", "seq", "n", F.coalesce("root", "seq").alias("comp"))
+    each = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    # rounds of leaders test the one pair of a bucket of two
+    whole = each.groupBy("key").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("parts")).where("c > 2 and parts > 1").select("key", "c")
+    each = each.join(whole, "key").select("key", "comp", "c", F.when(F.col("m") >= s.block, F.col("comp")).otherwise(F.lit(b"")).alias("pool"))
+    # lengths of a pair differ by one such step at most
+    step = F.when(F.col("c") <= s.block, 0).otherwise(F.floor(F.log("n") / float(-np.log(s.similarity)) + 1e-9)).cast("int")
+    member = written(member.join(each, ["key", "comp"]).select("key", "seq", "comp", "pool", step.alias("step")), "unsettled")
+    dealt = member.groupBy("key", "pool", "step").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
+    member = member.join(dealt, ["key", "pool", "step"]).withColumn("part", F.struct("pool", "step", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int").alias("block"))).select("key", "seq", "comp", "part")
+    part = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "pool", "step").select("key", F.struct("pool", "step", "block").alias("p"))
+    meet = part.join(part.select("key", F.col("p").alias("q")), "key").where("p <= q and abs(p.step - q.step) <= 1 and (p.pool != q.pool or p.pool = X'')")
+    meet = meet.select("key", F.xxhash64("key", "p", "q").alias("meeting"), "p", "q")
+    sides = meet.select("key", "meeting", F.explode(F.array_distinct(F.array("p", "q"))).alias("part"))
+    sent = member.join(sides, ["key", "part"]).select("key", "meeting", "seq", "comp").join(content, "seq")
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = zstandard.ZstdDecompressor()
+        at, group, links = None, [], []
+
+        def end() -> None:
+            if len({c for _, c, _ in group}) > 1:
+                links.extend(across([g[0] for g in group], [g[1] for g in group], [labelled(u.decompress(g[2]), s.words) for g in group], s.similarity))
+            group.clear()
+
+        for batch in batches:
+            for key, meeting, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (key, meeting) != at:
+                    end()
+                    at = (key, meeting)
+                group.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            links.clear()
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    sent = sent.select("key", "meeting", "seq", "comp", "pack").repartition("key", "meeting").sortWithinPartitions("key", "meeting")
+    return sent.mapInArrow(tested, "a binary, b binary").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of links (a, b): the least node that each reaches, by passing on least neighbours and jumping to their roots.
 
@@ -163,6 +250,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = written(buckets.join(shared, "key"), "shared")
     # a text that is in the fullest buckets is the likeliest centre of its group, so it leads
     central = left.groupBy("seq").agg(F.sum("c").alias("score"))
+    members = left
     left = left.join(central, "seq").select("key", "seq", "n", "score")
 
     bits = spark.sparkContext.broadcast(bit_map(central, "seq", s.map_bits))
@@ -211,7 +299,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = tested[0]
     for t in tested[1:]:
         links = links.unionByName(t)
-    root = components(links.where("alike > 0"))
+    links = links.where("alike > 0").select("a", "b")
+    root = components(links)
+    more = written(remaining(members, root, content, s), "links")
+    if more.limit(1).count():
+        root = components(links.unionByName(more))
     placed = rows.select(id_col, "seq", "n").join(root, rows.seq == root.node, "left").select(F.col(id_col).alias("_id"), F.coalesce("root", "seq").alias("_class"), "n")
     alone = placed.where("n = 0").select(F.col("_id").alias(id_col), F.col("_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     placed = placed.where("n > 0")

@@ -390,6 +390,45 @@ def test_near_dedup(spark, odd, empty):
     assert left.count() == len(sizes) and left.columns == docs.columns
 
 
+def classes_of_all_pairs(texts, s=near_dedup.Settings()):
+    """Class roots by every pair that shares a sketch and is similar."""
+    h = [near_dedup.labelled(near_dedup.normal(t), s.words) for t in texts]
+    held, keys = [set(x.tolist()) for x in h], [set(near_dedup.sketches(x, s)) for x in h]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(held[a] & held[b]) >= s.similarity / (1 + s.similarity) * (len(h[a]) + len(h[b])) - 1e-9 and keys[a] & keys[b] and near_dedup.similarity(h[a], h[b], s.similarity):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return [top(x) for x in range(len(texts))]
+
+
+def edited(seed, n, words=200, edits=(2, 3, 4)):
+    r, base = random.Random(seed), prose(seed, words).split()
+    out = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(r.choice(edits)):
+            w[r.randrange(words)] = f"edit{r.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_dedup_of_a_large_family_without_its_base(spark):
+    """No text is within 0.8 of all others, so leaders alone miss links; lengths differ in a second family."""
+    texts = edited(5, 1200) + [t + " " + prose(k, k % 70) for k, t in enumerate(edited(6, 300, edits=(1, 2, 3)))]
+    want = classes_of_all_pairs(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = by_id(near_dedup.near_duplicates(docs))
+    assert [got[k].class_id for k in range(len(texts))] == want
+
+
 def test_similarity_is_of_order():
     a, b = prose(1, 60), prose(2, 60)
     x, y = (near_dedup.labelled(near_dedup.normal(t), 5) for t in (f"{a} {b}", f"{b} {a}"))
