@@ -38,8 +38,6 @@ class Settings:
     #: Standard deviation of the smoothing in blocks, and the threshold in standard deviations of the smoothed ratios.
     sigma: float = 1.0
     threshold: float = 0.5
-    #: A container without article or main markup must hold this share of the content runs' text.
-    share: float = 0.8
     #: A block outside of a content run whose text is links to this share is a menu.
     links: float = 0.7
 
@@ -47,9 +45,12 @@ class Settings:
 class _Blocks(HTMLParser):
     """Blocks in page order: text, tags and link characters, and the open containers around them."""
 
-    def __init__(self) -> None:
+    def __init__(self, shown: frozenset = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # element, hidden by itself, container number or -1
+        self.stack: list[tuple[str, int, int]] = []  # element, 1 if hidden by itself or 2 if by its names, container number or -1
+        self.shown = shown  # places of elements that stay in spite of their names
+        self.named: list[tuple[int, int]] = []
+        self.inside: dict[tuple, int] = {}  # characters outside of links, by the open elements that names hide
         self.blocks: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.kinds: list[str] = []
         self.hidden = 0
@@ -69,7 +70,9 @@ class _Blocks(HTMLParser):
 
     def _pop(self, k: int) -> None:
         for tag, own, _ in self.stack[k:]:
-            self.hidden -= own
+            self.hidden -= own > 0
+            if own == 2:
+                self.named.pop()
             self.link -= tag == "a"
         del self.stack[k:]
 
@@ -106,27 +109,29 @@ class _Blocks(HTMLParser):
             number = len(self.kinds)
             self.kinds.append(tag)
         self.stack.append((tag, own, number))
-        self.hidden += own
+        self.hidden += own > 0
+        if own == 2:
+            self.named.append(self.getpos())
         self.link += tag == "a"
 
-    def _is_part(self, tag: str, attrs: dict) -> bool:
+    def _is_part(self, tag: str, attrs: dict) -> int:
         if tag in NEVER:
-            return True
+            return 1
         if tag in ("html", "body", "article", "main"):
-            return False
+            return 0
         if tag == "header":
-            return not any(t in ("article", "main") for t, *_ in self.stack)
+            return int(not any(t in ("article", "main") for t, *_ in self.stack))
         if not attrs:
-            return False
+            return 0
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-            return True
+            return 1
         names = " ".join(attrs.get(k) or "" for k in ("class", "id", "role"))
-        if not names.strip():
-            return False
+        if not names.strip() or self.getpos() in self.shown:
+            return 0
         words = {w.lower() for w in _NAME.findall(names)}
         if words & PARTS:
-            return True
-        return "header" in words and tag not in HEADINGS and not any(t in ("article", "main") for t, *_ in self.stack)
+            return 2
+        return 2 * ("header" in words and tag not in HEADINGS and not any(t in ("article", "main") for t, *_ in self.stack))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do: the slash means nothing but in void elements
@@ -145,6 +150,9 @@ class _Blocks(HTMLParser):
                 return  # an inline end tag doesn't close a container
 
     def handle_data(self, data: str) -> None:
+        if self.hidden == len(self.named) and not self.link:
+            path = tuple(self.named)
+            self.inside[path] = self.inside.get(path, 0) + len(data.strip())
         if self.hidden:
             return
         if any(t == "header" for t, *_ in self.stack) and not any(t in HEADINGS for t, *_ in self.stack):
@@ -162,14 +170,23 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return full / np.convolve(np.ones_like(ratios), kernel)[r : r + len(ratios)]
 
 
+def parsed(html: str, shown: frozenset = frozenset()) -> _Blocks:
+    p = _Blocks(shown)
+    p.feed(html)
+    p.close()
+    p.flush()
+    return p
+
+
 def main_text(html: str | None, settings: Settings = Settings()) -> str:
     """The article of one page; empty for null, empty and text-less pages."""
     if not html:
         return ""
-    p = _Blocks()
-    p.feed(html)
-    p.close()
-    p.flush()
+    p = parsed(html)
+    most = max(p.inside, key=p.inside.get, default=())
+    if most and 2 * p.inside[most] > sum(p.inside.values()):
+        # what holds most of the page's text is a layout, not a part, whatever its names say
+        p = parsed(html, frozenset(most))
     blocks = p.blocks
     if not blocks:
         return ""
@@ -179,25 +196,16 @@ def main_text(html: str | None, settings: Settings = Settings()) -> str:
     if not run.any():
         run[:] = True
     marked = [any(p.kinds[c] in ("article", "main") for c in held) for *_, held in blocks]
+    menu = [not run[k] and linked >= settings.links * len(t) for k, (t, _, linked, _h) in enumerate(blocks)]
     if any(marked):
-        # marked articles: those with a content run; a page may hold several
-        of = [next((c for c in held if p.kinds[c] == "article"), next((c for c in held if p.kinds[c] == "main"), -1)) for *_, held in blocks]
-        weight: dict[int, float] = {}
-        for k, c in enumerate(of):
-            if marked[k]:
-                weight[c] = weight.get(c, 0) + (n[k] if run[k] else 0)
-        best = max(weight.values())
-        chosen = {c for c, w in weight.items() if best == 0 or w >= 0.1 * best}
-        keep = [m and c in chosen for m, c in zip(marked, of, strict=True)]
+        # all marked regions; beside articles, a main element may hold menus
+        article = [any(p.kinds[c] == "article" for c in held) for *_, held in blocks]
+        keep = [m and (a or not (any(article) and x)) for m, a, x in zip(marked, article, menu, strict=True)]
     else:
-        weight = {}
-        for k, (*_, held) in enumerate(blocks):
-            for c in held:
-                weight[c] = weight.get(c, 0) + (n[k] if run[k] else 0)
-        total = float((n * run).sum())
-        # containers are numbered in page order, so of those with enough text the last on a path is the innermost
-        inner = max((c for c, w in weight.items() if w >= settings.share * total), default=-1)
-        keep = [(inner < 0 or inner in held) and (run[k] or linked < settings.links * len(t)) for k, (t, _, linked, held) in enumerate(blocks)]
+        # the innermost container that holds all content runs; runs of links are none
+        content = [k for k, (t, _, linked, _h) in enumerate(blocks) if run[k] and linked < settings.links * len(t)] or np.flatnonzero(run).tolist()
+        inner = max(set.intersection(*(set(blocks[k][3]) for k in content)), default=-1)
+        keep = [(inner < 0 or inner in held) and not x for (*_, held), x in zip(blocks, menu, strict=True)]
     return "\n".join(b[0] for b, k in zip(blocks, keep, strict=True) if k)
 
 

@@ -122,6 +122,16 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_the_whole_article():
+    a, b = "first long part " * 40, "second part " * 9
+    split = f"<body><div id=content><div><p>{a}</p></div><div><p>{b}</p></div></div></body>"
+    assert html_text.main_text(split) == f"{a.strip()}\n{b.strip()}"
+    lead = f"<body><main><h1>Title</h1><p>A lead.</p><article><p>{a}</p></article><article><p>Short one.</p></article></main></body>"
+    assert html_text.main_text(lead) == f"Title\nA lead.\n{a.strip()}\nShort one."
+    named = f"<body><div class='layout has-sidebar'><div><p>{a}</p><p>{b}</p></div><div class=sidebar><p>Beside.</p></div></div></body>"
+    assert html_text.main_text(named) == f"{a.strip()}\n{b.strip()}"
+
+
 def test_html_pages_of_the_table(spark, sf_dir):
     import html as H
     import re
