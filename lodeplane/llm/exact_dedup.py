@@ -42,9 +42,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fold_case: bool = False) -> DataFrame:
-    """The rows of df that exact_dedup keeps, with all columns of df.
+    """The rows of df that exact_dedup keeps, with all columns of df; rows of equal id and text are one row.
 
-    Only the ids that go are joined (an anti join): rows whose text is unique need no partner.
+    A row is known by its id and the digest of its text, so null and repeated ids decide for no other text. Only the rows
+    that go are joined (an anti join): rows whose text is unique need no partner.
     """
-    gone = exact_dedup(df, id_col, text_col, keep, fold_case).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return df.join(gone, F.col("_gone").eqNullSafe(df[id_col]), "left_anti")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.sha2(F.translate(text, UPPER, LOWER) if fold_case else text, 256)
+    gone = exact_dedup(df, id_col, text_col, keep, fold_case).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_text"))
+    rows = df.withColumn("_digest", digest)
+    left = rows.join(gone, F.col("_gone").eqNullSafe(rows[id_col]) & (F.col("_gone_text") == F.col("_digest")), "left_anti")
+    return left.dropDuplicates([id_col, "_digest"]).select(*df.columns)

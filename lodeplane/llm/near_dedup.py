@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeplane.llm.common import bit_map, map_texts, written
@@ -312,6 +312,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """The rows of df that lead their class (those of its least id), with all columns of df."""
-    gone = near_duplicates(df, id_col, text_col, s).where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone"))
-    return df.join(gone, F.col("_gone").eqNullSafe(df[id_col]), "left_anti")
+    """The rows of df that lead their class (those of its least id), with all columns of df.
+
+    One row of each class stays: a class's rows of equal id and text are one, and of its rows with the least id, or with
+    none where no row has one, the one of the least digest stays. Texts without a word all stay but for equal (id, text).
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    placed = written(distinct_rows(df, id_col, digest), "placed")
+    # a row's own key stands in for its id, which may be null or repeated
+    classes = near_duplicates(placed, "_key", text_col, s).select(F.col("_key").alias("_member"), "class_id")
+    return lead_rows(placed, classes, df.columns)
+
+
+def distinct_rows(df: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """df with _key, unlike for unlike (id, text) and ordered as ids are, nulls last; one row of each key."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("text"))
+    return df.withColumn("_key", key).dropDuplicates(["_key"])
+
+
+def lead_rows(placed: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
+    gone = classes.where("_member != class_id").select("_member")
+    return placed.join(gone, placed["_key"] == gone["_member"], "left_anti").select(*columns)

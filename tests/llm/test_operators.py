@@ -439,6 +439,16 @@ def test_near_dedup_of_a_large_family_without_its_base(spark):
     assert [got[k].class_id for k in range(len(texts))] == want
 
 
+def test_drops_decide_by_row(spark):
+    """Null ids, an id of two texts, and repeated rows: each group leaves one row, and unique texts stay."""
+    a, b, c, d = (prose(k, 60) for k in range(70, 74))
+    rows = [(1, a), (None, a), (None, b), (5, a), (5, c), (7, d), (7, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for drop in (exact_dedup.drop_exact_duplicates, near_dedup.drop_near_duplicates):
+        got = sorted(((r.doc_id, r.text) for r in drop(docs).collect()), key=str)
+        assert got == sorted([(1, a), (None, b), (5, c), (7, d)], key=str), drop
+
+
 def test_similarity_is_of_order():
     a, b = prose(1, 60), prose(2, 60)
     x, y = (near_dedup.labelled(near_dedup.normal(t), 5) for t in (f"{a} {b}", f"{b} {a}"))
