@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import pyarrow as pa
@@ -14,15 +16,15 @@ from pyspark.sql import functions as F
 from lodeplane.workers import reach
 
 
-#: Texts can be long: with Spark's default of 10,000 rows, a batch and what is made of it fill a worker's memory.
-BATCH_ROWS, SPARK_DEFAULT = "1000", "10000"
+#: Texts can be long: with Spark's defaults a batch and what is made of it fill a worker's memory. (setting, value, Spark's default)
+BATCH = [("spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20), None)]
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for the session, unless it has a number of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == SPARK_DEFAULT:
-        spark.conf.set(key, BATCH_ROWS)
+    """Smaller Arrow batches for the session, unless it has numbers of its own. Results are lazy, so the settings must stay."""
+    for key, value, default in BATCH:
+        if spark.conf.get(key, default) == default or (default is None and spark.sparkContext.getConf().get(key) is None):
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,16 +39,73 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, but only for a local master."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or _own_dir()
+
+
+_open: ContextVar[list[Scratch]] = ContextVar("open_scratches", default=[])
+
+
+class Scratch:
+    """Paths of tables written inside a `with scratch(spark)`, and those that stay when it ends."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, a table that written() gave, stays for whoever reads the result; an enclosing scratch may delete it."""
+        self.kept.append(df._lodeplane_path)
+        return df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes the tables written inside at the end, but for those kept; what the result still reads must be kept."""
+    here, outer = Scratch(), _open.get()
+    token = _open.set([*outer, here])
+    try:
+        yield here
+    finally:
+        _open.reset(token)
+        for path in here.paths:
+            if path not in here.kept:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if outer:
+            outer[-1].paths.extend(here.kept)
 
 
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, read again by its known schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeplane-{what}-{uuid.uuid4().hex}"
+    if _open.get():
+        _open.get()[-1].paths.append(path)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodeplane_path = path
+    return out
+
+
+#: A key is hot where it holds more than one part in HOT of all rows, and more than HOT rows.
+HOT = 1000
+
+
+def even_join(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of left with right, a written table of one row per key with the count of left's rows of that key.
+
+    The rows of hot keys stay where they are and meet a broadcast of right's rows: by the meaning of hot fewer than HOT
+    keys, whatever the input. The others are shuffled by key. No key's rows meet in one task but for cold ones.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = (F.col(count) > HOT) & (F.col(count) * HOT > total)
+    if not right.where(hot).limit(1).count():
+        return left.join(right, keys)
+    return left.join(F.broadcast(right.where(hot)), keys).unionByName(left.join(right.where(~hot), keys))
 
 
 def crc_mod(id_col: str, n: int) -> Column:
