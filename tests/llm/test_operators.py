@@ -110,7 +110,7 @@ def test_html(spark):
     <article><header><h1>Head &amp; line</h1><p class=by>By someone</p></header><p>First <b>para</b>graph\n with&nbsp;space.<p>Second&hellip; one<br>goes on.
     <div class="ad">Buy now</div><form><label>Name</label><input></form><ul><li>one<li>two</ul></article>
     <section class=comments><p>I disagree with everything that was said here, at length.</p></section><footer>&copy; Site</footer></body></html>"""
-    assert html_text.main_text(page).split("\n") == ["Head & line", "First paragraph with space.", "Second… one goes on.", "one", "two"]
+    assert html_text.main_text(page).split("\n") == ["Head & line", "By someone", "First paragraph with space.", "Second… one goes on.", "one", "two"]
     plain = "<html><body><div class=menu><a>x</a></div><div><div><p>" + "long text " * 30 + "</p><p>end.</p></div></div><div><p><a href=/>About us</a></p></div></body></html>"
     assert html_text.main_text(plain) == ("long text " * 30).strip() + "\nend."
     assert html_text.main_text("<nav>menu<article><p>text") == "text"
@@ -133,6 +133,50 @@ def test_html_keeps_the_whole_article():
     assert html_text.main_text(named) == f"{a.strip()}\n{b.strip()}"
 
 
+def test_html_leaves_out_what_readers_and_teasers_add():
+    a = "first long part " * 40
+    comments = f"<section id=comments><h2>Comments</h2><article class=comment-body><p>{'I disagree ' * 30}</p></article></section>"
+    teasers = "<aside><article><h3>Other story</h3><p>Some words about it that are long enough to look like text.</p></article></aside>"
+    assert html_text.main_text(f"<body>{teasers}<article><h1>Head</h1><p>{a}</p></article>{comments}</body>") == f"Head\n{a.strip()}"
+    assert html_text.main_text(f"<body><article><h1>Head</h1><p>{a}</p>{comments}</article></body>") == f"Head\n{a.strip()}"
+    assert html_text.main_text(f"<body><nav><ul><li>Menu<article><p>{a}</p></article></body>") == a.strip()
+
+
+def test_html_keeps_sections_whose_names_look_like_parts():
+    a = "first long part " * 40
+    page = f"<body><article><h2 id=related-work>Related work</h2><p>{a}</p><section id=discussion><h2 id=discussion-1>Discussion</h2><p>{a}</p></section><div class=related><a href=/x>Another story about it</a></div></article></body>"
+    assert html_text.main_text(page) == f"Related work\n{a.strip()}\nDiscussion\n{a.strip()}"
+
+
+def test_html_ratios_choose(monkeypatch):
+    """A page without article, and names that say nothing: the runs choose the container; with other ratios another one."""
+    menu = "".join(f"<div><span><b>Item</b> <i>{k}</i></span></div>" for k in range(8))
+    body = "".join(f"<p>{'words of the text ' * 12}{k}.</p>" for k in range(6))
+    page = f"<body><div class=x1>{menu}</div><div class=x2>{body}</div><div class=x3>{menu}</div></body>"
+    want = "\n".join(f"{'words of the text ' * 12}{k}." for k in range(6))
+    assert html_text.main_text(page) == want
+    two = f"<body><article>{menu}</article><article>{body}</article></body>"
+    assert html_text.main_text(two).endswith(want) and "Item 0" not in html_text.main_text(two)
+    monkeypatch.setattr(html_text, "content_runs", lambda blocks, s: ([k % 3 == 0 for k in range(len(blocks))],) * 2)
+    assert html_text.main_text(page) != want and "Item 0" in html_text.main_text(two)
+
+
+def test_html_ties_and_equal_blocks():
+    assert html_text.main_text("<body>" + "<div><p>same words</p></div>" * 5 + "</body>") == "\n".join(["same words"] * 5)
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<div class=menu>x", "<span><p>x</p>", "<section><article><p>x", "<ul><li><b>x", "<nav><article>x", "<table><tr><td><i>x</b>"])
+def test_html_time_is_in_proportion(piece):
+    import time
+
+    took = []
+    for n in (5_000, 50_000):
+        began = time.perf_counter()
+        html_text.main_text(piece * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 1 and took[1] < 20
+
+
 def test_html_pages_of_the_table(spark, sf_dir):
     import html as H
     import re
