@@ -2,8 +2,9 @@
 
 A rolling gear hash cuts a payload where its top bits are zero, so equal stretches of different payloads give equal chunks.
 Chunk digests are deduplicated by joins: the first payload that has a chunk owns it and stores its bytes. A payload's
-recipe is its ordered list of lengths and digests; equal payloads share the recipe and are stored once. Reading verifies
-every chunk against its digest.
+stored form is its manifest, the ordered list of lengths and digests, followed by its chunks as 8-bit samples; both are
+stored as they are (Parquet's pages compress them) and read back as they are, a chunk from whichever payload owns it.
+Equal payloads have one manifest and are stored once. Reading verifies every chunk against its digest.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeplane.llm.common import bit_map, map_texts, written
+from lodeplane.llm.common import bit_map, even_join, map_texts, scratch, written
 
 MAGIC = b"LPM1"
 
@@ -74,18 +74,28 @@ def padded(text: str | None, s: Settings) -> tuple[bytes, int]:
     return raw + b"\xff" * (max(1, -(-len(raw) // s.unit)) * s.unit - len(raw)), len(raw)
 
 
-def chunked(payload: bytes, s: Settings) -> tuple[list[int], list[bytes], bytes]:
-    """Lengths and digests of the chunks, and the recipe's digest."""
+#: Of a manifest: a chunk's length and digest.
+ENTRY = np.dtype([("length", "<u4"), ("digest", "V16")])
+
+
+def manifest(payload: bytes, s: Settings) -> bytes:
+    """The ordered list of a payload's chunks: a mark, their number, and length and digest of each."""
     ends = cuts(payload, s)
-    starts = [0, *ends[:-1]]
-    digests = [hashlib.blake2b(payload[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)]
-    lengths = [b - a for a, b in zip(starts, ends, strict=True)]
-    return lengths, digests, hashlib.blake2b(struct.pack(f"<{len(lengths)}I", *lengths) + b"".join(digests), digest_size=16).digest()
+    digests = [hashlib.blake2b(payload[a:b], digest_size=16).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    lengths = [b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return MAGIC + struct.pack("<I", len(ends)) + b"".join(struct.pack("<I", n) + d for n, d in zip(lengths, digests, strict=True))
+
 
+def entries(data: bytes) -> tuple[list[int], list[bytes]]:
+    """Lengths and digests of a manifest."""
+    if data[: len(MAGIC)] != MAGIC or len(data) != len(MAGIC) + 4 + struct.unpack_from("<I", data, len(MAGIC))[0] * ENTRY.itemsize:
+        raise ValueError("the manifest is damaged")
+    e = np.frombuffer(data, ENTRY, offset=len(MAGIC) + 4)
+    return e["length"].tolist(), [x.tobytes() for x in e["digest"]]
 
-def container(lengths: list[int], digests: list[bytes], payload: bytes) -> bytes:
-    """The stored form of one payload: the recipe, then the chunks in order."""
-    return b"".join([MAGIC, struct.pack("<I", len(lengths)), *(struct.pack("<I", n) + d for n, d in zip(lengths, digests, strict=True)), payload])
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def flagged(bits: bytes, key: bytes, n: int) -> bool:
@@ -95,12 +105,16 @@ def flagged(bits: bytes, key: bytes, n: int) -> bool:
     return bool(bits[byte] >> bit & 1)
 
 
-STORE = "recipe binary, lengths array<int>, digests array<binary>, held array<int>, pack binary"
-_STORE = pa.schema([("recipe", pa.binary()), ("lengths", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary())), ("held", pa.list_(pa.int32())), ("pack", pa.binary())])
+#: Of the store: a manifest's digest, the manifest, how many rows have it, the chunks it owns (null: all), and their bytes in order.
+STORE = "recipe binary, manifest binary, n long, held array<int>, pack binary"
+_STORE = pa.schema([("recipe", pa.binary()), ("manifest", pa.binary()), ("n", pa.int64()), ("held", pa.list_(pa.int32())), ("pack", pa.binary())])
 
 
 def store(df: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Writes recipes and the chunk store. Returns (recipe of each row, store, foreign chunk references)."""
+    """Writes recipes and the chunk store. Returns (recipe of each row, store, foreign chunk references).
+
+    A text is chunked twice: for the list of chunks, and, once it is known which are shared, for the store.
+    """
     spark = df.sparkSession
 
     def recipes():
@@ -108,93 +122,92 @@ def store(df: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[DataF
             out = []
             for t in texts:
                 payload, n = padded(t, s)
-                lengths, digests, recipe = chunked(payload, s)
-                out.append((n, len(payload), recipe, lengths, digests))
-            return [list(c) for c in zip(*out, strict=True)] or [[]] * 5
+                m = manifest(payload, s)
+                out.append((n, len(payload), digest(m), entries(m)[1]))
+            return [list(c) for c in zip(*out, strict=True)] or [[]] * 4
 
         return run
 
-    of = written(map_texts(df, [id_col], F.col(text_col), recipes, "n_bytes long, payload_bytes long, recipe binary, lengths array<int>, digests array<binary>"), "recipes")
+    of = written(map_texts(df, [id_col], F.col(text_col), recipes, "n_bytes long, payload_bytes long, recipe binary, digests array<binary>"), "recipes")
     distinct = of.groupBy("recipe").agg(F.count(F.lit(1)).alias("n"), F.first("digests").alias("digests"))
     chunks = distinct.select("recipe", F.posexplode("digests").alias("ord", "digest"))
     owners = chunks.groupBy("digest").agg(F.min(F.struct("recipe", "ord")).alias("own"), F.count(F.lit(1)).alias("c")).where("c > 1")
     foreign = written(chunks.join(owners, "digest").where(F.struct("recipe", "ord") != F.col("own")).select("recipe", "ord", "digest"), "foreign")
     bits = spark.sparkContext.broadcast(bit_map(distinct.where("n > 1").select("recipe").union(foreign.select("recipe")), "recipe", s.map_bits))
 
-    def packed(shared: bool):
-        """Whole payloads of recipes whose bit is set or not set; without a set bit a recipe is unique and owns all."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            z = zstandard.ZstdCompressor(3)
-            for batch in batches:
-                out = []
-                for t in batch.column(0).to_pylist():
-                    payload, _ = padded(t, s)
-                    lengths, digests, recipe = chunked(payload, s)
-                    if flagged(bits.value, recipe, s.map_bits) == shared:
-                        out.append({"recipe": recipe, "lengths": lengths, "digests": digests, "held": list(range(len(lengths))), "pack": z.compress(payload)})
-                yield pa.RecordBatch.from_pylist(out, _STORE)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole payloads; without a set bit a recipe is unique and owns all its chunks."""
+        for batch in batches:
+            out = []
+            for t in batch.column(0).to_pylist():
+                payload, _ = padded(t, s)
+                m = manifest(payload, s)
+                r = digest(m)
+                out.append((r, m, payload, flagged(bits.value, r, s.map_bits)))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], names=["recipe", "manifest", "pack", "shared"])
 
-        return df.select(F.col(text_col).alias("_text")).mapInArrow(run, STORE)
+    packs = written(df.select(F.col(text_col).alias("_text")).mapInArrow(packed, "recipe binary, manifest binary, pack binary, shared boolean"), "chunks")
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, u = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 gone = set(r.pop("gone") or ())
+                r["held"] = None
                 if gone:
-                    payload, at, keep = u.decompress(r["pack"]), 0, []
-                    for k, n in enumerate(r["lengths"]):
+                    payload, at, keep = r["pack"], 0, []
+                    lengths, _ = entries(r["manifest"])
+                    for k, n in enumerate(lengths):
                         if k not in gone:
                             keep.append(payload[at : at + n])
                         at += n
-                    r["held"] = [k for k in range(len(r["lengths"])) if k not in gone]
-                    r["pack"] = z.compress(b"".join(keep))
+                    r["held"] = [k for k in range(len(lengths)) if k not in gone]
+                    r["pack"] = b"".join(keep)
                 out.append(r)
             yield pa.RecordBatch.from_pylist(out, _STORE)
 
-    one = packed(True).groupBy("recipe").agg(F.first(F.struct("lengths", "digests", "held", "pack")).alias("r")).select("recipe", "r.*")
+    one = packs.where("shared").groupBy("recipe").agg(F.first(F.struct("manifest", "pack")).alias("r"), F.count(F.lit(1)).alias("n")).select("recipe", "r.manifest", "n", "r.pack")
     gone = foreign.groupBy("recipe").agg(F.collect_list("ord").alias("gone"))  # at most a payload's own chunks
-    rest = one.join(gone, "recipe", "left").select("recipe", "lengths", "digests", "held", "pack", "gone").mapInArrow(owned, STORE)
-    return of, written(packed(False).unionByName(rest), "chunks", "none"), foreign
+    rest = written(one.join(gone, "recipe", "left").mapInArrow(owned, STORE), "shared")
+    whole = packs.where("not shared").select("recipe", "manifest", F.lit(1).cast("long").alias("n"), F.lit(None).cast("array<int>").alias("held"), "pack")
+    return of, whole.unionByName(rest), foreign
 
 
 def read(stored: DataFrame, foreign: DataFrame, s: Settings) -> DataFrame:
-    """Payloads put together from the store: recipe, lengths, digests, payload (compressed). Chunks that others own come by join."""
+    """The rows of the store with `lent`, the chunks that other payloads own: by join."""
     bits = stored.sparkSession.sparkContext.broadcast(bit_map(foreign.select("digest"), "digest", s.map_bits))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = zstandard.ZstdDecompressor()
         for batch in batches:
-            digest, data = [], []
+            of, data = [], []
             for r in batch.to_pylist():
-                asked = [k for k in r["held"] if flagged(bits.value, r["digests"][k], s.map_bits)]
-                if asked:
-                    pack, at, ask = u.decompress(r["pack"]), 0, set(asked)
-                    for k in r["held"]:
-                        if k in ask:
-                            digest.append(r["digests"][k])
-                            data.append(pack[at : at + r["lengths"][k]])
-                        at += r["lengths"][k]
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(data, pa.binary())], names=["digest", "data"])
-
-    lent = foreign.join(stored.mapInArrow(wanted, "digest binary, data binary"), "digest")
+                at = 0
+                lengths, digests = entries(r["manifest"])
+                for k in range(len(lengths)) if r["held"] is None else r["held"]:
+                    if flagged(bits.value, digests[k], s.map_bits):
+                        of.append(digests[k])
+                        data.append(r["pack"][at : at + lengths[k]])
+                    at += lengths[k]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.binary()), pa.array(data, pa.binary())], names=["digest", "data"])
+
+    lent = foreign.join(stored.select("manifest", "held", "pack").mapInArrow(wanted, "digest binary, data binary"), "digest")
     lent = lent.groupBy("recipe").agg(F.collect_list(F.struct("ord", "data")).alias("lent"))  # at most a payload's own bytes
-    full = F.size("held") == F.size("digests")
-    return stored.where(full).withColumn("lent", F.expr("cast(null as array<struct<ord: int, data: binary>>)")).unionByName(stored.where(~full).join(lent, "recipe"))
+    full = stored.where("held is null").withColumn("lent", F.expr("cast(null as array<struct<ord: int, data: binary>>)"))
+    return full.unionByName(stored.where("held is not null").join(lent, "recipe"))
 
 
-def assemble(r: dict, u: zstandard.ZstdDecompressor) -> bytes:
+def assemble(r: dict) -> bytes:
     """The payload of a row of read(); a missing or changed chunk raises."""
-    pack, at, parts = u.decompress(r["pack"]), 0, {x["ord"]: x["data"] for x in r["lent"] or ()}
-    for k in r["held"]:
-        parts[k] = pack[at : at + r["lengths"][k]]
-        at += r["lengths"][k]
-    for k, d in enumerate(r["digests"]):
-        if hashlib.blake2b(parts[k], digest_size=16).digest() != d:
+    lengths, digests = entries(r["manifest"])
+    pack, at, parts = r["pack"], 0, {x["ord"]: x["data"] for x in r["lent"] or ()}
+    for k in range(len(lengths)) if r["held"] is None else r["held"]:
+        parts[k] = pack[at : at + lengths[k]]
+        at += lengths[k]
+    for k, d in enumerate(digests):
+        if k not in parts or digest(parts[k]) != d:
             raise ValueError(f"chunk {k} of {r['recipe'].hex()} is damaged")
-    return b"".join(parts[k] for k in range(len(r["digests"])))
+    return b"".join(parts[k] for k in range(len(digests)))
 
 
 def feature(payload: bytes) -> str:
@@ -211,20 +224,24 @@ def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Sett
 
     Returns id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Null counts as
     empty, whose payload is one unit of padding. Equal texts give equal values. Repeated rows, and rows without an id, are
-    described each; an empty table gives no rows. A very long text is one payload of many chunks.
+    described each; an empty table gives no rows. A very long text is one payload of many chunks. Other columns are ignored.
     """
-    of, stored, foreign = store(df, id_col, text_col, s)
-    fields = {"recipe": pa.binary(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    with scratch(df.sparkSession) as here:
+        of, stored, foreign = store(df, id_col, text_col, s)
+
+        def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for r in batch.to_pylist():
+                    payload = assemble(r)
+                    whole = r["manifest"] + payload  # every byte of it comes from the store
+                    out.append({"recipe": r["recipe"], "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(whole), "media_sha256": hashlib.sha256(whole).hexdigest(), "feature": feature(payload), "n": r["n"]})
+                yield pa.RecordBatch.from_pylist(out, pa.schema(list(_DESCRIBED.items())))
+
+        done = here.keep(written(read(stored, foreign, s).mapInArrow(described, DESCRIBED), "described"))
+        rows = here.keep(of).select(id_col, "n_bytes", "payload_bytes", "recipe")
+        return even_join(rows, done, ["recipe"], "n").select(id_col, "n_bytes", "payload_bytes", *list(_DESCRIBED)[1:-1])
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                payload = assemble(r, u)
-                whole = container(r["lengths"], r["digests"], payload)
-                out.append({"recipe": r["recipe"], "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(whole), "media_sha256": hashlib.sha256(whole).hexdigest(), "feature": feature(payload)})
-            yield pa.RecordBatch.from_pylist(out, pa.schema(list(fields.items())))
 
-    done = read(stored, foreign, s).mapInArrow(described, "recipe binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return of.select(id_col, "n_bytes", "payload_bytes", "recipe").join(done, "recipe").select(id_col, "n_bytes", "payload_bytes", *list(fields)[1:])
+DESCRIBED = "recipe binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n long"
+_DESCRIBED = {"recipe": pa.binary(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "n": pa.int64()}
