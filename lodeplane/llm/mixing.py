@@ -2,15 +2,16 @@
 
 A classifier trained on a labelled table gives each document a posterior over domains. Document rates, at least zero, are
 then fitted so that the expected tokens of each domain (rate x tokens x posterior, summed over documents) meet the targets:
-least squares by projected gradient steps. A step needs the domain totals only, and a document's rate follows from its
-posterior and the few residuals of the steps so far; so the driver keeps one small vector per step, and rates are never
-stored, shuffled or collected.
+least squares by projected gradient steps, with residuals weighted by the inverse of the domains' overlap, so that soft
+posteriors converge as quickly as hard ones. A step needs the domain totals and overlaps only, and a document's rate follows
+from its posterior and the few residuals of the steps so far; so the driver keeps one small vector per step, and rates are
+never stored, shuffled or collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeplane.llm.common import id_sample, map_texts, written
+from lodeplane.llm.common import id_sample, map_texts, scratch, written
 from lodeplane.llm.stats import NAMES, statistics
 
 
@@ -27,11 +28,12 @@ class Settings:
     #: Labelled rows that the classifier is fitted on, at most: the ones of smallest hashed id.
     sample_rows: int = 20_000
     ridge: float = 1.0
-    #: Pull of each rate to 1, step length, steps at most, and the change of a domain's share at which steps end.
-    pull: float = 1e-3
+    #: Step length, steps at most, and the distance of all shares from their targets at which steps end.
     step: float = 0.95
     steps: int = 40
     enough: float = 1e-6
+    #: Least overlap that a direction of the domains counts with: where posteriors hardly differ, rates don't run away.
+    soft: float = 1e-4
     seed: int = 11
 
 
@@ -50,16 +52,17 @@ class Model:
 
 @dataclass
 class Mix:
-    """What a document's rate follows from: the residuals of each step, each over its domain's share."""
+    """What a document's rate follows from: the weighted residuals of each step. reached: the shares that the rates give."""
 
     model: Model
     residuals: list[list[float]]
     settings: Settings
+    reached: dict[str, float] = field(default_factory=dict)
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
         for e in self.residuals:
-            r = np.maximum(0.0, r - self.settings.step * (p @ np.array(e) + self.settings.pull * (r - 1)))
+            r = np.maximum(0.0, r - self.settings.step * (p @ np.array(e)))
         return r
 
     def folded_rate(self, p: str) -> Column:
@@ -71,7 +74,7 @@ class Mix:
 
         def step(r: Column, e: Column) -> Column:
             dot = F.aggregate(F.zip_with(F.col(p), e, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-            return F.greatest(F.lit(0.0), r - s.step * (dot + s.pull * (r - 1.0)))
+            return F.greatest(F.lit(0.0), r - s.step * dot)
 
         return F.aggregate(steps, F.lit(1.0), step)
 
@@ -115,23 +118,35 @@ def members(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def fit_rates(member: DataFrame, model: Model, targets: dict[str, float], s: Settings = Settings()) -> Mix:
     """Steps until the domains' shares of the expected tokens meet the targets (which are normalised to sum 1).
 
-    A table without tokens keeps all rates at 1. A target above what the posteriors allow is met as nearly as they allow.
+    A table without tokens keeps all rates at 1. A target above what the posteriors allow is met as nearly as the steps came:
+    the mix ends with the step of the least distance, and its shares are reported in `reached`.
     """
     goal = np.array([targets[d] for d in model.domains]) / sum(targets.values())
     mix = Mix(model, [], s)
     k = len(goal)
-    start, last = None, np.full(k, np.inf)
-    for _ in range(s.steps):
-        r = mix.folded_rate("p")
-        row = member.select("n_tokens", "p", r.alias("r")).agg(F.sum("n_tokens").alias("t"), *(F.sum(F.col("n_tokens") * F.col("p")[j] * F.col("r")).alias(f"d{j}") for j in range(k))).first()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    best, kept = np.inf, 0
+    for _ in range(s.steps + 1):
+        rows = member.select("n_tokens", "p", mix.folded_rate("p").alias("r"))
+        p, n, r = F.col("p"), F.col("n_tokens"), F.col("r")
+        # tokens by domain, and the overlap of each two domains over the documents that a step can still lower
+        totals = [F.sum(n * p[j] * r).alias(f"d{j}") for j in range(k)] + [F.sum(F.when(r > 0, n * p[i] * p[j]).otherwise(0.0)).alias(f"o{i}_{j}") for i, j in pairs]
+        row = rows.agg(F.sum("n_tokens").alias("t"), *totals).first()
         if not row.t:
             break
         share = np.array([row[f"d{j}"] for j in range(k)]) / row.t
-        start = np.maximum(share, 1e-6) if start is None else start
-        if np.abs(share - last).max() < s.enough or np.abs(share - goal).max() < s.enough:
+        off = float(np.abs(share - goal).max())
+        if off < best:
+            best, kept = off, len(mix.residuals)
+            mix.reached = dict(zip(model.domains, share.tolist(), strict=True))
+        if off < s.enough:
             break
-        last = share
-        mix.residuals.append([round(x, 12) for x in ((share - goal) / start).tolist()])
+        overlap = np.zeros((k, k))
+        for i, j in pairs:
+            overlap[i, j] = overlap[j, i] = row[f"o{i}_{j}"] / row.t
+        e = np.linalg.solve(overlap + s.soft * max(np.trace(overlap), 1e-9) * np.eye(k), share - goal)
+        mix.residuals.append([round(x, 12) for x in e.tolist()])
+    del mix.residuals[kept:]
     return mix
 
 
@@ -154,7 +169,8 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     """id_col, n_tokens, p_<domain> for each domain, rate and copies of each row.
 
     Null and empty texts have no tokens and get the rate of their posterior. Repeated rows are rated each; rows of one id
-    get one number of copies. An empty table gives no rows.
+    get one number of copies, those without an id too. Very long texts cost time in proportion to their length. Ties of
+    posteriors get one rate. An empty table gives no rows. Other columns are ignored.
     """
     mix, member = fit_mix(docs, labelled, targets, id_col, text_col, s)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -171,8 +187,13 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """The rows of docs, each as often as its copies say, with all columns: a second pass over the texts, without a shuffle."""
-    mix, _ = fit_mix(docs, labelled, targets, id_col, text_col, s)
+    """The rows of docs, each as often as its copies say, with all columns: a second pass over the texts, without a shuffle.
+
+    Null, empty and very long texts, repeated rows, missing ids and empty tables are treated as rated() treats them: copies
+    follow from text and id alone. Other columns go through as they are.
+    """
+    with scratch(docs.sparkSession):
+        mix, _ = fit_mix(docs, labelled, targets, id_col, text_col, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

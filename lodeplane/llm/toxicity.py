@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeplane.llm.common import id_sample, map_texts, written
+from lodeplane.llm.common import id_sample, map_texts, scratch, written
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "ԁ": "d", "ɡ": "g", "ո": "n", "ս": "u", "α": "a", "ο": "o", "ε": "e", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "κ": "k", "χ": "x", "ı": "i", "ⅼ": "l", "ł": "l", "ø": "o"}
@@ -88,9 +88,26 @@ def automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
     return a
 
 
+def counted(hits: list[tuple[int, int, float]], spared: list[tuple[int, int]]) -> list[float]:
+    """Weights of the hits (start, end, weight) that lie in no spared stretch (start, end): one sweep over both, sorted."""
+    out, reach, k = [], -1, 0
+    spared = sorted(spared)
+    for start, end, weight in sorted(hits):
+        while k < len(spared) and spared[k][0] <= start:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if end > reach:
+            out.append(weight)
+    return out
+
+
 def strength(text: str, a: ahocorasick.Automaton) -> tuple[float, int, int]:
     """Weighted sum of hits outside exception phrases over a mild power of the length; hits; words."""
-    words = WORD.findall(fold(text))
+    return strength_of(WORD.findall(fold(text)), a)
+
+
+def strength_of(words: list[str], a: ahocorasick.Automaton) -> tuple[float, int, int]:
+    """The same of folded words. Time is in proportion to the words and the matches, these sorted."""
     if not words or not len(a):
         return 0.0, 0, len(words)
     line = f" {' '.join(words)} "
@@ -100,8 +117,8 @@ def strength(text: str, a: ahocorasick.Automaton) -> tuple[float, int, int]:
             spared.append((end - n, end))
         else:
             hits.append((end - n, end, weight))
-    hits = [(s, e, w) for s, e, w in hits if not any(x <= s and e <= y for x, y in spared)]
-    return sum(w for *_, w in hits) / (1 + math.log10(1 + len(words) / 100)), len(hits), len(words)
+    weights = counted(hits, spared)
+    return math.fsum(weights) / (1 + math.log10(1 + len(words) / 100)), len(weights), len(words)
 
 
 def fit(labelled: DataFrame, text_col: str, label_col: str, settings: Settings = Settings()) -> Lexicon:
@@ -111,7 +128,14 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, settings: Settings =
     that has thousands of copies get no weight from the copies. Rows without a label or text, and an empty sample, teach
     nothing.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y")).where("text is not null and y is not null")
+    with scratch(labelled.sparkSession):
+        return _fit(labelled, text_col, label_col, settings)
+
+
+def _fit(labelled: DataFrame, text_col: str, label_col: str, settings: Settings) -> Lexicon:
+    rows = labelled.select(F.col(text_col).alias("_text"), F.col(label_col).cast("double").alias("_y")).where("_text is not null and _y is not null")
+    # folded once, for the three passes that follow: one string of words between single spaces
+    rows = written(map_texts(rows, ["_y"], F.col("_text"), lambda: lambda texts: [[" ".join(WORD.findall(fold(t))) for t in texts]], "text string").withColumnRenamed("_y", "y"), "folded")
 
     a, b = F.sum(F.col("n") * F.col("toxic").cast("int")), F.sum(F.col("n") * (~F.col("toxic")).cast("int"))
 
@@ -123,7 +147,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, settings: Settings =
         for pdf in batches:
             for t, y in zip(pdf.text, pdf.y):
                 c[("", y > 0)] += 1
-                c.update((w, y > 0) for w in set(WORD.findall(fold(t))) if not w.isdigit())
+                c.update((w, y > 0) for w in set(t.split()) if not w.isdigit())
         yield pd.DataFrame([(*k, v) for k, v in c.items()], columns=["word", "toxic", "n"])
 
     per_word = rows.mapInPandas(words, "word string, toxic boolean, n long").groupBy("word").agg(a.alias("a"), b.alias("b"))
@@ -140,7 +164,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, settings: Settings =
         for pdf in batches:
             out, size = set(), Counter()
             for t, y in zip(pdf.text, pdf.y):
-                w = ["", *WORD.findall(fold(t)), ""]
+                w = ["", *t.split(), ""]
                 size[y > 0] += len(w) - 2
                 out.update((w[i], w[i - 1], w[i + 1], y > 0, 1) for i in range(1, len(w) - 1) if w[i] in likely)
             yield pd.DataFrame([*out, *(("", "", "", k, v) for k, v in size.items())], columns=["word", "before", "after", "toxic", "n"])
@@ -167,7 +191,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, settings: Settings =
         for pdf in batches:
             c = Counter()
             for t, y in zip(pdf.text, pdf.y):
-                c[(min(40.0, round(strength(t, auto)[0], 1)), y > 0)] += 1
+                c[(min(40.0, round(strength_of(t.split(), auto)[0], 1)), y > 0)] += 1
             yield pd.DataFrame([(*k, v) for k, v in c.items()], columns=["s", "toxic", "n"])
 
     bins = rows.mapInPandas(strengths, "s double, toxic boolean, n long").groupBy("s", "toxic").agg(F.sum("n").alias("n")).collect()
@@ -224,7 +248,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", te
 
 
 def drop_toxic(df: DataFrame, lexicon: Lexicon, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of df that score below the threshold, with all columns, in one pass without a shuffle."""
+    """The rows of df that score below the threshold, with all columns, in one pass without a shuffle.
+
+    Null and empty texts, and texts without a word, stay where a text without a hit does (its score is at most 0.25).
+    Repeated rows, equal scores and rows without an id are decided each by their own text; a score at the threshold goes.
+    An empty table gives no rows. Other columns go through as they are.
+    """
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(lexicon)
