@@ -88,4 +88,15 @@ SQL = {
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op8_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+        s AS (SELECT r, i, md5(b[i:i + 199]) AS k FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d)),
+        t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM s) WHERE n > 1),
+        edges AS (SELECT r, i, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY r ORDER BY i)),
+        spans AS (SELECT r, span, min(i) AS a, max(i) + 199 AS z FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM edges) GROUP BY r, span),
+        gone AS (SELECT r, sum(z - a + 1) AS removed, count(*) AS n FROM spans GROUP BY r),
+        starts AS (SELECT r, a, z FROM spans UNION ALL SELECT r, octet_length(b) + 1, octet_length(b) FROM d),
+        kept AS (SELECT r, string_agg(hex(b[coalesce(before, 0) + 1:a - 1]), '' ORDER BY a) AS h FROM (SELECT r, a, lag(z) OVER (PARTITION BY r ORDER BY a) AS before FROM starts) JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, octet_length(b) AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
+        FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)""",
 }

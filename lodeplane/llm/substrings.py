@@ -8,7 +8,8 @@ occur in more than one segment: suffixes not larger than their successor are sor
 scanning the buckets, and adjacent common prefixes of `length` bytes mark repeats.
 
 An anchor with very many occurrences is split by the bytes that all its strings of like offset share, so a passage in a
-third of all documents is spread over many keys.
+third of all documents is spread over many keys. Where very many different segments still share a key, as those over a
+passage's borders do, they are cut into single strings, which meet by what they are: no key's segments grow with the corpus.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeplane.llm.common import bit_map, map_texts, written
+from lodeplane.llm.common import bit_map, even_join, map_texts, scratch, written
 
 #: No UTF-8 text has this byte; it ends a segment in the suffix array.
 END = 0xFF
@@ -41,6 +42,8 @@ class Settings:
     #: Occurrences from which on an anchor is split, by this many neighbouring offsets.
     often: int = 1024
     step: int = 16
+    #: Different segments of a key from which on they are cut into single strings.
+    crowded: int = 1024
     #: Bytes of segments that one suffix array takes together; the segments of one key always meet.
     block: int = 1 << 18
     map_bits: int = 1 << 23
@@ -124,25 +127,38 @@ def suffix_array(t: bytes, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def common_prefixes(t: bytes, sa: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of each suffix in sa with the next one, up to `depth` bytes."""
+    b = np.frombuffer(t + b"\0" * (depth + 16), np.uint8)
+    word = b.astype(np.uint64)
+    for k in (1, 2, 4):
+        word = word[:-k] | (word[k:] << np.uint64(8 * k))
+    x, y = sa[:-1], sa[1:]
+    out = np.full(len(x), depth)
+    same = np.arange(len(x))
+    for at in range(0, depth, 8):
+        apart = word[x[same] + at] ^ word[y[same] + at]
+        stop = apart != 0
+        low = apart[stop]
+        # bytes below the lowest set bit are equal
+        low = low & (~low + np.uint64(1))
+        out[same[stop]] = np.minimum(depth, at + np.log2(low.astype(np.float64)).astype(np.int64) // 8)
+        same = same[~stop]
+    return out
+
+
 def repeats(segments: list[bytes], length: int) -> list[np.ndarray]:
     """For each of the (different) segments, which of its strings of `length` bytes occur in another or elsewhere in it."""
     t = bytes([END]).join(segments) + bytes([END])
     sa = suffix_array(t, length + 8)
-    b = np.frombuffer(t + b"\0" * (length + 8), np.uint8)
     start = np.cumsum([0, *(len(x) + 1 for x in segments)])
     until = np.repeat(start[1:] - 1, np.diff(start))
     fits = np.arange(len(t)) + length <= until
     sa = sa[fits[sa]]
-    word = b.astype(np.uint64)
-    for k in (1, 2, 4):
-        word = word[:-k] | (word[k:] << np.uint64(8 * k))
-    x, y = sa[:-1], sa[1:]
-    same = np.arange(len(x))
-    for at in [*range(0, length - 7, 8), length - 8]:
-        same = same[word[x[same] + at] == word[y[same] + at]]
+    same = np.flatnonzero(common_prefixes(t, sa, length) >= length)
     hit = np.zeros(len(t), bool)
-    hit[x[same]] = True
-    hit[y[same]] = True
+    hit[sa[same]] = True
+    hit[sa[same + 1]] = True
     return [hit[a : a + max(0, len(g) - length + 1)] for a, g in zip(start[:-1].tolist(), segments, strict=True)]
 
 
@@ -177,8 +193,22 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     Returns id_col, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 for each row. Texts are UTF-8 bytes;
     null counts as empty; no string crosses rows. A text that occurs in several rows is removed whole if it has `length`
     bytes, and its rows count as elsewhere for others. Texts shorter than `length` stay. Repeated rows, and rows without an
-    id, are answered each; an empty table gives no rows. Long texts are worked in parts of 8 MB.
+    id, are answered each; an empty table gives no rows. Long texts are worked in parts of 8 MB. Other columns are ignored.
     """
+    with scratch(df.sparkSession) as here:
+        return _repeated(df, id_col, text_col, s, here)
+
+
+#: Of the segments: text, first start, key, digest, bytes.
+SEGMENTS = "tid binary, start long, g long, sid binary, seg binary"
+
+
+def cut_rows(rows: list) -> pa.RecordBatch:
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["tid", "start", "g", "sid", "seg"])
+
+
+def _repeated(df: DataFrame, id_col: str, text_col: str, s: Settings, here) -> DataFrame:
     spark = df.sparkSession
 
     def first_pass():
@@ -193,8 +223,7 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return run
 
-    base = written(map_texts(df, [id_col], F.col(text_col), first_pass, "n_bytes long, tid binary, sha string, hs array<long>, ns array<int>"), "anchors")
-    texts = base.groupBy("tid").agg(F.count(F.lit(1)).alias("rows"))
+    base = here.keep(written(map_texts(df, [id_col], F.col(text_col), first_pass, "n_bytes long, tid binary, sha string, hs array<long>, ns array<int>"), "anchors"))
     # rows of equal texts give equal hashes here, so an anchor occurs twice if two hashes differ or one text has it twice
     place = base.select(F.xxhash64("tid").alias("t"), F.explode(F.arrays_zip("hs", "ns")).alias("x")).select(F.col("x.hs").alias("h"), "t", F.col("x.ns").alias("n"))
     counted = place.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("n").alias("n"), F.sum("n").alias("c"))
@@ -219,29 +248,23 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = zstandard.ZstdDecompressor()
-        names = ["tid", "start", "g", "sid", "seg"]
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-
-        def made(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
         for batch in batches:
             rows: list = []
             for r in batch.to_pylist():
                 for start, g, seg in segments(u.decompress(r["pack"]), {x["h"]: x["split"] for x in r["often"]}, s):
                     rows.append((r["tid"], start, g, hashlib.blake2b(seg, digest_size=16).digest(), seg))
                     if len(rows) >= 20_000:
-                        yield made(rows)
+                        yield cut_rows(rows)
                         rows = []
             if rows:
-                yield made(rows)
+                yield cut_rows(rows)
 
     found = content.withColumn("t", F.xxhash64("tid")).join(of, "t").select("tid", "pack", "often")
-    found = written(found.mapInArrow(cut, "tid binary, start long, g long, sid binary, seg binary"), "segments")
+    found = written(found.mapInArrow(cut, SEGMENTS), "segments")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of g. Gives the runs of repeated strings of each segment that has any."""
-        schema = pa.schema([("g", pa.int64()), ("sid", pa.binary()), ("runs", pa.list_(pa.int32()))])
+        schema = pa.schema([("g", pa.int64()), ("sid", pa.binary()), ("n", pa.int64()), ("runs", pa.list_(pa.int32()))])
         group: list[tuple] = []
         block: list[tuple] = []
         size = 0
@@ -261,7 +284,7 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             for g, sid, n, seg, _ in block:
                 cover = [0, len(seg) - s.length + 1] if n > 1 else runs(hits[sid]) if sid in hits else []
                 if cover:
-                    out.append({"g": g, "sid": sid, "runs": cover})
+                    out.append({"g": g, "sid": sid, "n": n, "runs": cover})
             block.clear()
             size = 0
             return pa.RecordBatch.from_pylist(out, schema)
@@ -277,9 +300,27 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         if block:
             yield close_block()
 
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments cut into their strings, each with a key of its own."""
+        for batch in batches:
+            rows = []
+            for tid, start, seg in zip(*(batch.column(k).to_pylist() for k in ("tid", "start", "seg")), strict=True):
+                for i in range(len(seg) - s.length + 1):
+                    one = seg[i : i + s.length]
+                    rows.append((tid, start + i, xxhash.xxh64_intdigest(one, 1) - (1 << 63), hashlib.blake2b(one, digest_size=16).digest(), one))
+                    if len(rows) >= 20_000:
+                        yield cut_rows(rows)
+                        rows = []
+            if rows:
+                yield cut_rows(rows)
+
+    full = written(found.groupBy("g", "sid").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("c")).where(F.col("m") > s.crowded), "crowded")
+    if full.limit(1).count():
+        fine = even_join(found, full.select("g", "c"), ["g"], "c").mapInArrow(strings, SEGMENTS)
+        found = written(found.join(full.select("g"), "g", "left_anti").unionByName(fine), "segments")
     distinct = found.groupBy("g", "sid").agg(F.count(F.lit(1)).alias("n"), F.first("seg").alias("seg"))
-    marks = distinct.repartition("g").sortWithinPartitions("g").mapInArrow(compared, "g long, sid binary, runs array<int>")
-    cover = found.select("tid", "start", "g", "sid").join(marks, ["g", "sid"]).groupBy("tid").agg(F.collect_list(F.struct("start", "runs")).alias("cover"))
+    marks = written(distinct.repartition("g").sortWithinPartitions("g").mapInArrow(compared, "g long, sid binary, n long, runs array<int>"), "marks")
+    cover = even_join(found.select("tid", "start", "g", "sid"), marks, ["g", "sid"], "n").groupBy("tid").agg(F.collect_list(F.struct("start", "runs")).alias("cover"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = zstandard.ZstdDecompressor()
@@ -298,16 +339,15 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_pylist(out, schema)
 
     trimmed = content.join(cover, "tid").mapInArrow(kept, "tid binary, removed long, spans long, kept string")
+    texts = base.groupBy("tid").agg(F.count(F.lit(1)).alias("rows"))
+    done = here.keep(written(texts.join(trimmed, "tid", "left"), "trimmed"))
     whole = (F.col("rows") > 1) & (F.col("n_bytes") >= s.length)
-    return (
-        base.select(F.col(id_col).alias("_id"), "n_bytes", "tid", "sha").join(texts, "tid").join(trimmed, "tid", "left")
-        .select(
-            F.col("_id").alias(id_col),
-            "n_bytes",
-            F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-            F.when(whole, hashlib.sha256().hexdigest()).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        )
+    return even_join(base.select(F.col(id_col).alias("_id"), "n_bytes", "tid", "sha"), done, ["tid"], "rows").select(
+        F.col("_id").alias(id_col),
+        "n_bytes",
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, hashlib.sha256().hexdigest()).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
 
 

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodeplane.llm import bpe, common, exact_dedup, html_text, language, media, mixing, near_dedup, quality, substrings, toxicity
 from lodeplane.llm.queries import vocabulary
@@ -360,12 +361,12 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("often", [1024, 2])
-def test_substrings(spark, odd, empty, often):
+@pytest.mark.parametrize("often, crowded", [(1024, 1024), (2, 1024), (2, 2)])
+def test_substrings(spark, odd, empty, often, crowded):
     shared = [prose(50 + k, 60) for k in range(4)]
     r = random.Random(3)
     texts = [" ".join(r.choice(shared) if r.random() < 0.4 else prose(r.random(), 30) for _ in range(5)) for _ in range(30)] + ["ab" * 400, "c" * 199, "c" * 200, "c" * 201, shared[0], shared[0]]
-    s = substrings.Settings(often=often)
+    s = substrings.Settings(often=often, crowded=crowded)
     got = by_id(substrings.repeated_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), s=s))
     for i, want in enumerate(brute(texts, 200)):
         assert tuple(got[i])[1:] == want
@@ -388,6 +389,35 @@ def test_suffix_array(parts):
     assert keys == sorted(keys)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=40), min_size=1, max_size=5), st.integers(1, 30))
+def test_common_prefixes(parts, depth):
+    t = b"\xff".join(x.encode() for x in parts) + b"\xff"
+    sa = substrings.suffix_array(t, depth)
+    want = [next((k for k in range(depth) if t[a + k : a + k + 1] != t[b + k : b + k + 1] or not t[a + k : a + k + 1]), depth) for a, b in zip(sa.tolist(), sa.tolist()[1:])]
+    assert substrings.common_prefixes(t, sa, depth).tolist() == want
+
+
+def test_a_hot_passage_fills_no_key(spark, monkeypatch):
+    """One passage in all of many texts: no task takes more segments of a key than the bound, and the result is right."""
+    passage = prose(77, 90)
+    texts = [prose(9000 + k, 25) + " " + passage + " " + prose(12000 + k, 25) for k in range(600)]
+    s = substrings.Settings(often=32, crowded=64)
+    fullest, real = [], substrings.written
+
+    def spy(df, what, *more):
+        out = real(df, what, *more)
+        if what == "segments":
+            fullest.append(out.groupBy("g").agg(F.countDistinct("sid").alias("n")).agg(F.max("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(substrings, "written", spy)
+    got = by_id(substrings.repeated_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), s=s))
+    want = brute(texts, 200)
+    assert [tuple(got[i])[1:] for i in range(len(texts))] == want and sum(x[1] for x in want) > 0
+    assert len(fullest) == 2 and fullest[0] > s.crowded >= fullest[1]
+
+
 # ---------- toxicity
 
 
