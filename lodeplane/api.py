@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodeplane.operators import clusters, ordering, points
-from lodeplane.operators.kernel import RowKernel
+from lodeplane.operators.kernel import RowKernel, wire
 from lodeplane.operators.points import level_row, level_side, stack_height, stack_width
 from lodeplane.plans.layout import validate
 from lodeplane.plans.storage import cut
@@ -16,7 +16,7 @@ from lodeplane.settings import QuadTree, check_centroids, default_centroids, def
 from lodeplane.sources import load_points
 from lodeplane.streaming import AsyncRead, ForceLayout
 
-__all__ = ["ArgSort", "AsyncRead", "Boundaries", "ForceLayout", "GridPyramid", "GroupedKMeans", "KMeans", "RowKernel", "default_depth", "level_row", "level_side", "stack_height", "stack_width"]
+__all__ = ["ArgSort", "AsyncRead", "Boundaries", "ForceLayout", "GridPyramid", "GroupedKMeans", "KMeans", "RowKernel", "default_depth", "level_row", "level_side", "stack_height", "stack_width", "wire"]
 
 
 class _Points:
@@ -108,7 +108,7 @@ class GroupedKMeans(KMeans):
 
     def debug_view(self, what: str) -> DataFrame:
         if not self.debug:
-            raise RuntimeError("only available in debug mode")
+            raise RuntimeError(f'This method "{what}" is only available in debug mode.')
         return getattr(self, what)
 
 

@@ -35,18 +35,29 @@ def seeds(points: DataFrame, n: int, k: int, iteration: int = 0, ordinal: str =
 
 def assign(points: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     """(id, cid): the nearest centroid of each point, the lowest cid among equals."""
-    here = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"))
+    return placed(points, centroids, k).select("id", "cid")
+
+
+def placed(points: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
+    """(id, x, y, mass, cid): the points with their nearest centroid. Up to ARRAY_CENTROIDS centroids, one pass without a shuffle."""
+    here = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("mass").alias("pm"))
     if k <= ARRAY_CENTROIDS:
         every = centroids.agg(F.collect_list(F.struct("cid", "x", "y")).alias("cs"))  # k entries, at most ARRAY_CENTROIDS
         best = F.array_min(F.transform("cs", lambda c: F.struct(((F.col("px") - c["x"]) * (F.col("px") - c["x"]) + (F.col("py") - c["y"]) * (F.col("py") - c["y"])).alias("d"), c["cid"].alias("cid"))))
-        return here.crossJoin(F.broadcast(every)).select("id", best["cid"].alias("cid"))
+        return here.crossJoin(F.broadcast(every)).select("id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pm").alias("mass"), best["cid"].alias("cid"))
     d = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
-    return all_pairs(here, centroids.select("cid", "x", "y")).groupBy("id").agg(F.min(F.struct(d.alias("d"), "cid")).alias("b")).select("id", F.col("b.cid").alias("cid"))
+    best = F.min(F.struct(d.alias("d"), "cid", "px", "py", "pm")).alias("b")
+    return all_pairs(here, centroids.select("cid", "x", "y")).groupBy("id").agg(best).select("id", F.col("b.px").alias("x"), F.col("b.py").alias("y"), F.col("b.pm").alias("mass"), F.col("b.cid").alias("cid"))
 
 
 def update(points: DataFrame, assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     """Mean position, summed mass and count of each cluster; one without points keeps its place, with mass and count 0."""
-    new = points.join(assigned, "id").groupBy("cid").agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"), F.sum("mass").alias("nm"), F.count(F.lit(1)).alias("nc"))
+    return means(points.join(assigned, "id"), centroids)
+
+
+def means(at: DataFrame, centroids: DataFrame) -> DataFrame:
+    """update() of points that carry their cluster (of placed()): partial sums per task, then k rows."""
+    new = at.groupBy("cid").agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"), F.sum("mass").alias("nm"), F.count(F.lit(1)).alias("nc"))
     return centroids.select("cid", "x", "y").join(new, "cid", "left").select(
         "cid", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"), F.coalesce("nm", F.lit(0.0)).alias("mass"), F.coalesce("nc", F.lit(0)).cast("long").alias("cnt")
     )
@@ -59,10 +70,10 @@ def kmeans(points: DataFrame, n: int, k: int, steps: int, start: DataFrame | Non
         raise ValueError(f"Invalid steps: {steps}. Must be 1 or more.")
     c = seeds(points, n, k, iteration, ordinal) if start is None else start
     for _ in range(steps):
-        a = assign(points, c, k)
-        c = update(points, a, c)
+        a = placed(points, c, k)
+        c = means(a, c)
         c = cut(c) if cut_steps else c
-    return Clustering(c, a)
+    return Clustering(c, a.select("id", "cid"))
 
 
 def offsets(centroids: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeplane.operators.points import at_levels, bounds, interactions, pyramid
-from lodeplane.plans.storage import all_pairs
+from lodeplane.plans.storage import BROADCAST_ROWS, all_pairs, within
 
 #: Turn by which coincident points are moved apart, times their ordinal: the golden angle.
 GOLDEN = 2.399963229728653
@@ -23,7 +23,7 @@ def _apart(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("ddx", F.col("x") - F.col("ox")).withColumn("ddy", F.col("y") - F.col("oy")).withColumn("d2", F.col("ddx") * F.col("ddx") + F.col("ddy") * F.col("ddy"))
 
 
-def _others(state: DataFrame, *more: str) -> DataFrame:
+def _others(state: DataFrame, *more: str | Column) -> DataFrame:
     return state.select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("mass").alias("om"), F.col("size").alias("os"), *more)
 
 
@@ -54,20 +54,39 @@ def repulsion_centroids(state: DataFrame, centroids: DataFrame, scaling: float =
 
 
 def repulsion_grouped(state: DataFrame, centroids: DataFrame, assigned: DataFrame, scaling: float = 1.0, adjust_sizes: bool = False) -> DataFrame:
-    """From the other centroids, and from the nodes of the own cluster one by one: an equi join on the cluster."""
-    own = state.join(assigned, "id")
+    """From the other centroids, and from the nodes of the own cluster one by one: blocks of the cluster meet, so no cluster is one task."""
+    own = state.join(assigned.select("id", "cid"), "id")
     far = _apart(all_pairs(own.select("id", "x", "y", "mass", "cid"), _centroids(centroids), F.col("cid") != F.col("ocid")))
-    near = own.select("id", "x", "y", "mass", "size", "cid").join(_others(own, "cid"), "cid").where(F.col("id") != F.col("oid"))
+    near = within(own.select("id", "x", "y", "mass", "size", "cid"), _others(own, F.col("cid").alias("ocid")), "cid", "ocid").where(F.col("id") != F.col("oid"))
     both = _summed(far, _linear(scaling)).union(_summed(_apart(near), _sized(scaling) if adjust_sizes else _linear(scaling)))
     return both.groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
 
+def coarse_levels(depth: int, ring: int) -> int:
+    """Levels whose interaction lists have BROADCAST_ROWS rows at most, together: every cell with all cells of its list."""
+    rows = 0
+    for level in range(depth):
+        rows += 4 ** (level + 1) * (4 * ring + 2) ** 2
+        if rows > BROADCAST_ROWS:
+            return level
+    return depth
+
+
 def _felt(state: DataFrame, depth: int, ring: int) -> DataFrame:
-    """Each node with the cells it feels; on the finest level without itself in its own cell."""
-    box = bounds(state)
+    """Each node with the cells it feels; on the finest level without itself in its own cell.
+
+    Of coarse levels, where few cells hold all nodes, the lists are broadcast: at most BROADCAST_ROWS rows by the number of
+    cells a level can have, whatever the nodes. Only on finer levels are nodes shuffled by their cells.
+    """
+    found = bounds(state)
+    box = state.sparkSession.createDataFrame(found.collect(), found.schema)  # one row, worked out once
     cells = pyramid(state, depth, box)
     lists = interactions(cells, depth, ring).withColumnRenamed("mass", "cm")
-    rows = at_levels(state.select("id", "x", "y", "mass"), depth, box).join(lists, ["level", "cx", "cy"])
+    nodes = state.select("id", "x", "y", "mass")
+    coarse = coarse_levels(depth, ring)
+    rows = at_levels(nodes, 0, coarse, box).join(F.broadcast(lists.where(F.col("level") < coarse)), ["level", "cx", "cy"])
+    if coarse < depth:
+        rows = rows.unionByName(at_levels(nodes, coarse, depth, box).join(lists.where(F.col("level") >= coarse), ["level", "cx", "cy"]))
     own = (F.col("level") == depth - 1) & (F.col("cx") == F.col("ox")) & (F.col("cy") == F.col("oy"))
     less = lambda c, v: F.when(own, F.col(c) - v).otherwise(F.col(c)).alias(c)
     return rows.select("id", "x", "y", "mass", "side", "level", less("sx", F.col("x") * F.col("mass")), less("sy", F.col("y") * F.col("mass")), less("cm", F.col("mass")), less("cnt", F.lit(1))).where("cnt > 0 and cm > 0")

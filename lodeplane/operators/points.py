@@ -83,7 +83,7 @@ def interactions(cells: DataFrame, depth: int, ring: int) -> DataFrame:
     return want.join(cells.withColumnRenamed("cx", "ox").withColumnRenamed("cy", "oy"), ["level", "ox", "oy"])
 
 
-def at_levels(points: DataFrame, depth: int, box: DataFrame | None = None) -> DataFrame:
-    """Each point once per level, with its cell there."""
-    at = relative_positions(points, box).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+def at_levels(points: DataFrame, first: int, depth: int, box: DataFrame | None = None) -> DataFrame:
+    """Each point once per level from `first` to below depth, with its cell there."""
+    at = relative_positions(points, box).withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(depth - 1))))
     return at.withColumn("cx", cell(F.col("rx"), F.col("level"))).withColumn("cy", cell(F.col("ry"), F.col("level")))

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.functions import uniform
+from lodeplane.api import ArgSort, KMeans
+from lodeplane.functions import grid_side, next_pow2, uniform
 from lodeplane.operators import clusters, diagnostics, forces, graphs, ordering, placement, points
-from lodeplane.operators.kernel import RowKernel
+from lodeplane.operators.kernel import RowKernel, wire
 from lodeplane.operators.motion import move
 from lodeplane.plans.layout import Context, Layout, step
-from lodeplane.plans.storage import cut
-from lodeplane.settings import Clusters, QuadTree, Settings
-from lodeplane.sources import clustered_graph, embedding_points, event_graph, nation_graph, scan_edges, spread_positions, table, trade_graph
+from lodeplane.plans.storage import cut, shared_dir
+from lodeplane.settings import Clusters, QuadTree, Settings, default_centroids, default_depth
+from lodeplane.sources import clustered_graph, embedding_points, event_graph, load_points, nation_graph, parse_parameters, read_json_graph, scan_edges, spread_positions, table, trade_graph
+from lodeplane.streaming import AsyncRead
 
 
 #: Fixed sizes of the SQL-checked queries, so that SQL can state them without knowing the number of nodes.
 DEPTH, RING, K, STEPS = 5, 1, 16, 3
+#: Outliers are so many times as far from their neighbours as points are on average; centroids of the query with many.
+HALO, MANY = 2.0, 600
 #: Repulsions reach 10^9, of which a double keeps no more digits whatever the order of its sum.
 FORCE_DIGITS = 2
 
@@ -251,11 +257,24 @@ def _step(settings: Settings) -> Callable:
 
 
 def layout_3_iterations(spark, d):
-    g = nation_graph(spark, d)
+    """Over all nodes; to 3 digits, as the order of sums shows in the last ones after several iterations."""
+    g = trade_graph(spark, d)
     layout = Layout(g.nodes, g.edges)
     layout.read()
     for _ in range(3):
         layout.iterate()
+    return tidy(layout.state, 3).drop("size")
+
+
+def layout_set_between(spark, d):
+    """Two iterations, then another gravity and scaling for a third."""
+    g = nation_graph(spark, d)
+    layout = Layout(g.nodes, g.edges)
+    layout.read()
+    for k in range(3):
+        if k == 2:
+            layout.set(gravity=0.2, scaling_ratio=2.0)
+        layout.iterate()
     return tidy(layout.state).drop("size")
 
 
@@ -264,11 +283,11 @@ def nearest_neighbor_distance(spark, d):
 
 
 def empty_halos(spark, d):
-    return tidy(diagnostics.halos(part_points(spark, d), 1.5)[0])
+    return tidy(diagnostics.halos(embedding_points(spark, d), HALO)[0])
 
 
 def empty_halo_points(spark, d):
-    return tidy(diagnostics.halos(part_points(spark, d), 1.5)[1])
+    return tidy(diagnostics.halos(embedding_points(spark, d), HALO)[1])
 
 
 def _violations(**checks: DataFrame) -> DataFrame:
@@ -305,12 +324,12 @@ def row_kernel(spark, d):
 
 def largest_component(spark, d):
     g = trade_graph(spark, d)
-    return placement.largest_component(g.nodes, g.edges.where("weight > 1"))[0].select("id")
+    return placement.largest_component(g.nodes, g.edges)[0].select("id")
 
 
 def components(spark, d):
     g = trade_graph(spark, d)
-    return placement.components(g.nodes, g.edges.where("weight > 1"))
+    return placement.components(g.nodes, g.edges)
 
 
 def circular_layout(spark, d):
@@ -338,38 +357,173 @@ def clustered_graph_stats(spark, d):
 
 
 def community_labels(spark, d):
-    g = nation_graph(spark, d)
+    g = trade_graph(spark, d)
     return placement.communities(g.nodes, g.edges)
 
 
 def packed_communities(spark, d):
-    g = nation_graph(spark, d)
+    g = trade_graph(spark, d)
     return tidy(placement.packed_circles(g.nodes.select("id", "size", "x", "y"), placement.communities(g.nodes, g.edges), 100.0))
 
 
 def write_back(spark, d):
     g = trade_graph(spark, d)
-    state = placement.circular(g.nodes.where("id < 100").select("id"), 100, 10.0)
+    state = placement.circular(g.nodes.select("id"), n_of(g.nodes), 10.0)
     return tidy(graphs.write_back(g.nodes, state))
 
 
 def neighbour_lists(spark, d):
-    g = nation_graph(spark, d)
-    s, adj = graphs.initial_state(g.nodes, g.edges)
-    return graphs.neighbour_lists(s, adj).select("id", "cnt", "offset", F.size("neighbours").cast("long").alias("listed"))
+    s, adj = settled(spark, d)
+    n = F.col("neighbours")
+    total = F.aggregate(n, F.lit(0.0), lambda a, x: a + x["weight"] * (x["other"] % 1000))
+    return graphs.neighbour_lists(s, adj).select("id", "cnt", "offset", F.coalesce(F.size(n), F.lit(0)).cast("long").alias("listed"), n[0]["other"].alias("first"), F.element_at(n, -1)["other"].alias("last"), total.alias("total"))
 
 
 def layout_run_snapshots(spark, d):
     """Rows (iterations, nodes) of each snapshot of a run of 4 iterations in frames of 2."""
     from lodeplane.streaming import ForceLayout
 
-    g, seen = nation_graph(spark, d), []
+    g, seen = trade_graph(spark, d), []
     run = ForceLayout(g.nodes, g.edges, Settings(repulsion=QuadTree(3), iterations_per_frame=2, sync_interval=0.0), lambda nodes, i: seen.append((i, nodes.count())))
     run.start(4)
     run.wait()
     return spark.createDataFrame(seen, "iterations long, nodes long")
 
 
+def layout_run_state(spark, d):
+    """What a run says of itself: while it has an endless run under way, after stop(), and after a run of 3 iterations."""
+    from lodeplane.streaming import ForceLayout
+
+    g = nation_graph(spark, d)
+    run = ForceLayout(g.nodes, g.edges, Settings(iterations_per_frame=1))
+    run.start()
+    rows = [("endless", run.is_running(), run.total_iterations() >= 1)]
+    run.stop()
+    rows.append(("stopped", run.is_running(), run.total_iterations() >= 1))
+    before = run.total_iterations()
+    run.start(3)
+    run.wait()
+    rows.append(("finished", run.is_running(), run.total_iterations() == before + 3 and run.metrics.iterations == before + 3 and run.metrics.per_second > 0))
+    return spark.createDataFrame(rows, "moment string, running boolean, counted boolean")
+
+
+def point_load(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey") % 5).alias("mass"))
+    return tidy(load_points(p))
+
+
+def json_graph(spark, d):
+    """The nations' graph written as one JSON document and read back: nodes with their edges' number and weight."""
+    g = nation_graph(spark, d)
+    key = lambda c: F.col(c).cast("string")
+    nodes = g.nodes.agg(F.collect_list(F.struct(key("id").alias("key"), F.struct("x", "y", "size").alias("attributes"))).alias("nodes"))
+    edges = g.edges.agg(F.collect_list(F.struct(key("src").alias("source"), key("dst").alias("target"), F.struct("weight").alias("attributes"))).alias("edges"))
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    nodes.crossJoin(edges).write.json(path)  # the document: one row
+    back = read_json_graph(spark, path)
+    out = back.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
+    return tidy(back.nodes.join(out, "id", "left"))
+
+
+def clustered_graph_nodes(spark, d):
+    return tidy(clustered_graph(spark, 1000, 5000, 5, 0.7, 42, 2.0, 500.0).nodes)
+
+
+def sizing(spark, d):
+    """Grid sides, powers of two, default depths and centroids by the number of rows."""
+    rows = [(n, grid_side(n), next_pow2(n), default_depth(n), default_centroids(n)) for n in range(1, 3000)]
+    return spark.createDataFrame(rows, "n long, side long, pow2 long, depth long, centroids long")
+
+
+def level_arithmetic(spark, d):
+    rows = [(k, points.level_side(k), points.level_row(k), points.stack_width(k + 1), points.stack_height(k + 1)) for k in range(12)]
+    return spark.createDataFrame(rows, "level long, side long, first long, width long, height long")
+
+
+def parameters(spark, d):
+    """Settings read from the text of a link."""
+    s = parse_parameters("?gravity=0.2&lin_log=true&iterations_per_frame=25&adjust_sizes=false&unknown=1&debug", Settings())
+    return spark.createDataFrame([(k, float(getattr(s, k))) for k in ("gravity", "lin_log", "iterations_per_frame", "adjust_sizes", "scaling_ratio", "max_force")], "name string, value double")
+
+
+def argsort_payload(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("key"), F.col("o_custkey").alias("customer"))
+    return ordering.argsort(o).select("pos", "id", "customer")
+
+
+def argsort_read(spark, d):
+    sort = ArgSort()
+    sort.set_data(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").cast("double").alias("key")), too_high=1e9)
+    sort.sort()
+    return spark.createDataFrame(list(enumerate(sort.values())), "pos long, id long")
+
+
+def async_read(spark, d):
+    """A read in another thread: under way, a second one is refused."""
+    read = AsyncRead()
+    began, again = read.start(points.bounds(trade_points(spark, d))), read.start(spark.range(1))
+    while (got := read.poll()) is None:
+        time.sleep(0.01)
+    return spark.createDataFrame([(*(float(got.column(c)[0].as_py()) for c in ("xmin", "xmax", "ymin", "ymax")), began, again)], "xmin double, xmax double, ymin double, ymax double, began boolean, again boolean")
+
+
+def kmeans_reinitialized(spark, d):
+    """Two steps, then one from other seeds."""
+    km = KMeans(K)
+    km.set_nodes(embedding_points(spark, d))
+    km.compute(2)
+    return tidy(km.compute(1, reinitialize=True, iteration=5))
+
+
+def kmeans_assign_many(spark, d):
+    """More centroids than are compared as one array: orders as points."""
+    p = _ordered(spread_positions(table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"))).withColumn("mass", F.lit(1.0)))
+    return clusters.assign(p, clusters.seeds(p, n_of(p), MANY, 0, "ord"), MANY)
+
+
+def kernel_wired(spark, d):
+    """Two kernels by name: the second reads what the first made of the bounding box."""
+
+    def centre(batch: pd.DataFrame, tables: dict) -> pd.DataFrame:
+        return pd.DataFrame({"cx": (batch.xmin + batch.xmax) / 2, "cy": (batch.ymin + batch.ymax) / 2})
+
+    def away(batch: pd.DataFrame, tables: dict, scale: float) -> pd.DataFrame:
+        c = tables["centre"].iloc[0]
+        return pd.DataFrame({"id": batch.id, "u": ((batch.x - c.cx) * scale).round(6), "v": ((batch.y - c.cy) * scale).round(6)})
+
+    p = trade_points(spark, d)
+    box = points.bounds(p)
+    first = RowKernel(centre, "cx double, cy double")
+    second = RowKernel(away, "id long, u double, v double", {"centre": spark.createDataFrame([(0.0, 0.0)], "cx double, cy double")}, scale=2.0)
+    return wire({"centre": (first, box), "away": (second, p.select("id", "x", "y"))})["away"]
+
+
+def row_kernel_joined(spark, d):
+    """A kernel that reads, of a table of any size, the row of its own row's key."""
+
+    def fn(batch: pd.DataFrame, tables: dict) -> pd.DataFrame:
+        return pd.DataFrame({"id": batch.o_orderkey, "u": (batch.o_totalprice - batch.customer_c_acctbal).round(2)})
+
+    o, c = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice")), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    return tidy(RowKernel(fn, "id long, u double", lookups={"customer": (c, "o_custkey")}).compute(o), 2)
+
+
+def validate_planted(spark, d):
+    """Rows that break a rule, of inputs that break them by a rule of their ids."""
+    p = trade_points(spark, d)
+    n = n_of(p)
+    c = clusters.kmeans(p, n, K, 1)
+    x = F.when(F.col("cid") % 4 == 1, F.lit(float("nan"))).when(F.col("cid") % 4 == 2, F.lit(float("inf"))).otherwise(F.col("x"))
+    centroids = c.centroids.withColumn("x", x).withColumn("cnt", F.when(F.col("cid") == 4, -1).otherwise(F.col("cnt"))).withColumn("cid", F.when(F.col("cid") == 8, K).otherwise(F.col("cid")))
+    a = c.assign.where("id % 7 != 3")
+    a = a.withColumn("cid", F.when(F.col("id") % 11 == 5, K).otherwise(F.col("cid"))).union(a.where("id % 5 = 0"))
+    order, off = clusters.sorted_points(c.assign), clusters.offsets(c.centroids)
+    moved = off.withColumn("offset", F.when(F.col("cid") == 0, -1).when(F.col("cid") == K - 1, n).otherwise(F.col("offset")))
+    swapped = order.withColumn("pos", F.lit(n - 1).cast("long") - F.col("pos"))
+    broken = order.withColumn("id", F.when(F.col("id") % 6 == 2, F.col("id") + 1).otherwise(F.col("id"))).withColumn("pos", F.when(F.col("pos") % 9 == 4, F.col("pos") + 1).otherwise(F.col("pos")))
+    return _violations(centroids=diagnostics.bad_centroids(centroids, K), assignments=diagnostics.bad_assignments(p, a, K), offsets=diagnostics.bad_offsets(moved, n), counts=diagnostics.bad_offsets(off, n + 1), ranges=diagnostics.bad_ranges(swapped, off), order=diagnostics.not_a_permutation(p, broken))
+
+
 ATTRACTION = {
     f"attraction_{'linlog' if lin else 'linear'}{'_dist' if out else ''}{'_sizes' if sizes else ''}": dict(lin_log=lin, outbound=out, adjust_sizes=sizes)
     for lin in (False, True) for out in (False, True) for sizes in (False, True)
@@ -391,6 +545,8 @@ _PLAIN = [
     kmeans_steps3, kmeans_empty_cluster, kmeans_sorted_nodes, kmeans_offsets, argsort, prefix_sum, permutation_check, repulsion_allpairs, repulsion_allpairs_sizes, repulsion_kmeans,
     repulsion_kmeans_grouped, repulsion_kmeans_grouped_sizes, gravity, gravity_strong, layout_3_iterations, nearest_neighbor_distance, empty_halos, empty_halo_points, validate_kmeans, validate_grouped,
     row_kernel, largest_component, components, circular_layout, random_layout, size_by_degree, prng, clustered_graph_stats, community_labels, packed_communities, write_back, neighbour_lists, layout_run_snapshots,
+    layout_set_between, layout_run_state, point_load, json_graph, clustered_graph_nodes, sizing, level_arithmetic, parameters, argsort_payload, argsort_read, async_read, kmeans_reinitialized, kmeans_assign_many,
+    kernel_wired, row_kernel_joined, validate_planted,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

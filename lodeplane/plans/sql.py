@@ -5,7 +5,7 @@ Numbers are written with exponents so that they are doubles; doubles are rounded
 
 from __future__ import annotations
 
-from lodeplane.plans.queries import ATTRACTION, DEPTH, FORCE_DIGITS, K, RING, STEPS
+from lodeplane.plans.queries import ATTRACTION, DEPTH, FORCE_DIGITS, HALO, K, MANY, RING, STEPS
 
 
 def r(x: str, digits: int = 6) -> str:
@@ -34,6 +34,7 @@ keys AS (SELECT src AS key FROM edges UNION SELECT dst FROM edges),
 nodes AS (SELECT row_number() OVER (ORDER BY key) - 1 AS id, key FROM keys)"""
 
 POINTS = f"pts AS (SELECT id, {AT}, CAST(1 + id % 3 AS DOUBLE) AS mass FROM (SELECT CAST(c_custkey AS BIGINT) AS id FROM customer))"
+VECTORS = "pts AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, 1e0 AS mass FROM embeddings)"
 PARTS = f"pts AS (SELECT id, {AT} FROM (SELECT CAST(p_partkey AS BIGINT) AS id FROM part))"
 
 
@@ -65,12 +66,12 @@ turned AS (SELECT *, CASE WHEN bx * bx + by_ * by_ <= side * side * 1e-18 THEN c
 rep AS (SELECT id, sum(ddx * mass * cm / (ddx * ddx + ddy * ddy)) AS fx, sum(ddy * mass * cm / (ddx * ddx + ddy * ddy)) AS fy FROM turned GROUP BY id)"""
 
 
-def seeds(of: str, name: str = "c0", iteration: int = 0) -> str:
+def seeds(of: str, name: str = "c0", iteration: int = 0, k: int = K) -> str:
     return f"""num AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS ord FROM {of}),
-dim AS (SELECT count(*) AS n, greatest(count(*) // {K}, 1) AS stride FROM {of}),
+dim AS (SELECT count(*) AS n, greatest(count(*) // {k}, 1) AS stride FROM {of}),
 {name} AS (SELECT CAST(cid AS INTEGER) AS cid, x, y, 0e0 AS mass, CAST(0 AS BIGINT) AS cnt FROM
     (SELECT cid, (cid * stride + CAST(floor((v - floor(v)) * CAST(stride AS DOUBLE)) AS BIGINT)) % n AS ord FROM
-        (SELECT cid, sin({float(iteration)}e0 * 73e0 + cid * 37e0) * 43758.5453123e0 AS v FROM range(0, {K}) t(cid)), dim) w JOIN num USING (ord))"""
+        (SELECT cid, sin({float(iteration)}e0 * 73e0 + cid * 37e0) * 43758.5453123e0 AS v FROM range(0, {k}) t(cid)), dim) w JOIN num USING (ord))"""
 
 
 def kstep(of: str, k: int) -> str:
@@ -143,20 +144,22 @@ def one_step(rep: str, g: str = "", a: str = "", sized: bool = False) -> str:
     return f"WITH {TRADE},\n{rep},\n{g or gravity(1.0, False)},\n{a or attraction(adjust_sizes=sized)},\n{moved(ALL, sized=sized)}\n{OUT}"
 
 
-def three_steps() -> str:
-    parts, of = [NATION], "state"
+def three_steps(graph: str, digits: int, last: tuple[float, float] = (1.0, 1.0)) -> str:
+    """last: gravity and scaling of the third step."""
+    parts, of = [graph], "state"
     for k in range(3):
-        parts.append(all_pairs(False, of=of).replace("rep AS", f"rep{k} AS", 1))
-        parts.append(gravity(1.0, False, of, f"grav{k}"))
+        strength, scaling = last if k == 2 else (1.0, 1.0)
+        parts.append(all_pairs(False, scaling, of=of).replace("rep AS", f"rep{k} AS", 1))
+        parts.append(gravity(strength, False, of, f"grav{k}"))
         parts.append(attraction(of=of, name=f"att{k}"))
         parts.append(moved(f"SELECT * FROM rep{k} UNION ALL SELECT * FROM grav{k} UNION ALL SELECT * FROM att{k}", f"s{k}", of))
         of = f"s{k}"
-    return f"WITH {', '.join(parts)}\n{rounded('x y mass dx dy convergence', of)}"
+    return f"WITH {', '.join(parts)}\nSELECT id, {', '.join(f'{r(c, digits)} AS {c}' for c in 'x y mass dx dy convergence'.split())} FROM {of}"
 
 
 def labels(rounds: int = 10) -> str:
     """Least reachable ids by that many rounds: enough for the graph at hand, as its paths are short."""
-    out = [f"{TRADE}", "e AS (SELECT * FROM adj WHERE weight > 1)", "l0 AS (SELECT id, id AS component FROM nodes)"]
+    out = [f"{TRADE}", "e AS (SELECT DISTINCT id, other FROM adj)", "l0 AS (SELECT id, id AS component FROM nodes)"]
     for k in range(rounds):
         out.append(f"l{k + 1} AS MATERIALIZED (SELECT l.id, least(l.component, coalesce(m.c, l.component)) AS component FROM l{k} l LEFT JOIN (SELECT e.id, min(component) AS c FROM e JOIN l{k} b ON b.id = e.other GROUP BY e.id) m ON l.id = m.id)")
     return "WITH " + ",\n".join(out), f"l{rounds}"
@@ -172,7 +175,7 @@ def uniform(seed: str, k: str) -> str:
 
 
 def communities(rounds: int = 10) -> str:
-    out = [NATION, "m0 AS (SELECT id, id AS community FROM nodes)"]
+    out = [TRADE, "m0 AS (SELECT id, id AS community FROM nodes)"]
     for k in range(rounds):
         out.append(f"""m{k + 1} AS MATERIALIZED (SELECT id, community FROM (SELECT id, community, row_number() OVER (PARTITION BY id ORDER BY w DESC, community) AS o FROM
     (SELECT id, community, round(sum(weight), 9) AS w FROM (SELECT a.id, m.community, a.weight FROM adj a JOIN m{k} m ON m.id = a.other UNION ALL SELECT id, community, 1e-6 FROM m{k}) GROUP BY 1, 2)) WHERE o = 1)""")
@@ -210,7 +213,9 @@ SQL = {
     "kmeans_seed": f"WITH {POINTS}, {seeds('pts', iteration=7)} SELECT cid, {r('x')} AS x, {r('y')} AS y, mass, cnt FROM c0",
     "kmeans_assign": f"WITH {POINTS}, {seeds('pts')}, {kstep('pts', 0)} SELECT id, cid FROM a0",
     "kmeans_update": f"WITH {POINTS}, {seeds('pts')}, {kstep('pts', 0)} {rounded('x y mass', 'c1', 'cid, cnt')}",
-    "kmeans_steps3": f"WITH pts AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, 1e0 AS mass FROM embeddings), {seeds('pts')}, {', '.join(kstep('pts', k) for k in range(STEPS))} {rounded('x y mass', f'c{STEPS}', 'cid, cnt')}",
+    "kmeans_reinitialized": f"WITH {VECTORS}, {seeds('pts', iteration=5)}, {kstep('pts', 0)} {rounded('x y mass', 'c1', 'cid, cnt')}",
+    "kmeans_assign_many": f"WITH pts AS (SELECT id, {AT}, 1e0 AS mass FROM (SELECT CAST(o_orderkey AS BIGINT) AS id FROM orders)), {seeds('pts', k=MANY)}, {kstep('pts', 0)} SELECT id, cid FROM a0",
+    "kmeans_steps3": f"WITH {VECTORS}, {seeds('pts')}, {', '.join(kstep('pts', k) for k in range(STEPS))} {rounded('x y mass', f'c{STEPS}', 'cid, cnt')}",
     "kmeans_empty_cluster": f"WITH {POINTS}, c0 AS (SELECT * FROM (VALUES (0, 0e0, 0e0), (1, 50e0, 50e0), (2, 1e6, 1e6)) v(cid, x, y)), {kstep('pts', 0)} {rounded('x y mass', 'c1', 'cid, cnt')}",
     "kmeans_sorted_nodes": f"WITH {POINTS}, {seeds('pts')}, {kstep('pts', 0)} SELECT row_number() OVER (ORDER BY cid, id) - 1 AS pos, id, cid FROM a0",
     "kmeans_offsets": f"WITH {POINTS}, {seeds('pts')}, {kstep('pts', 0)} SELECT cid, cnt, CAST(coalesce(sum(cnt) OVER (ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM c1",
@@ -234,10 +239,11 @@ SQL = {
     "layout_step_quadtree": one_step(quad("state", 1)),
     "layout_step_kmeans": one_step(f"{KM}, rep AS (SELECT id, sum(fx) AS fx, sum(fy) AS fy FROM ({from_centroids('c9')}) GROUP BY id)"),
     "layout_step_kmeans_grouped": one_step(f"{KM}, {grouped(False)}"),
-    "layout_3_iterations": three_steps(),
+    "layout_3_iterations": three_steps(TRADE, 3),
+    "layout_set_between": three_steps(NATION, 6, (0.2, 2.0)),
     "nearest_neighbor_distance": f"WITH {PARTS} {rounded('nearest', f'({_values})')}",
-    "empty_halos": f"WITH {PARTS}, d AS ({_values}), m AS (SELECT avg(nearest) AS mean_nearest, avg(nearest) * 1.5e0 AS threshold FROM d) SELECT {r('mean_nearest')} AS mean_nearest, {r('threshold')} AS threshold, (SELECT count(*) FROM d WHERE nearest > threshold) AS halo_count FROM m",
-    "empty_halo_points": f"WITH {PARTS}, d AS ({_values}) {rounded('nearest', 'd')} WHERE nearest > (SELECT avg(nearest) * 1.5e0 FROM d)",
+    "empty_halos": f"WITH {VECTORS}, d AS ({_values}), m AS (SELECT avg(nearest) AS mean_nearest, avg(nearest) * {HALO}e0 AS threshold FROM d) SELECT {r('mean_nearest')} AS mean_nearest, {r('threshold')} AS threshold, (SELECT count(*) FROM d WHERE nearest > threshold) AS halo_count FROM m",
+    "empty_halo_points": f"WITH {VECTORS}, d AS ({_values}) {rounded('nearest', 'd')} WHERE nearest > (SELECT avg(nearest) * {HALO}e0 FROM d)",
     "validate_kmeans": "SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('assignments'), ('centroids')) v(rule)",
     "validate_grouped": "SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('offsets'), ('order'), ('ranges')) v(rule)",
     "row_kernel": f"WITH {POINTS}, box AS (SELECT min(x) AS xmin, min(y) AS ymin FROM pts) SELECT id, round((x - xmin) * 0.5e0, 6) AS u, round((y - ymin) * 0.5e0, 6) AS v FROM pts, box",
@@ -247,13 +253,39 @@ SQL = {
     "random_layout": f"SELECT CAST(c_custkey AS BIGINT) AS id, {r('(' + uniform('42', 'c_custkey * 2') + ' - 0.5e0) * 5000e0')} AS x, {r('(' + uniform('42', 'c_custkey * 2 + 1') + ' - 0.5e0) * 5000e0')} AS y FROM customer",
     "size_by_degree": f"WITH {TRADE} SELECT n.id, {r('count(a.id) / 3e0 * 5e0')} AS size FROM nodes n LEFT JOIN adj a ON a.id = n.id GROUP BY n.id",
     "prng": f"SELECT k, round({uniform('12345', 'k')}, 9) + 0e0 AS u FROM range(0, 1000) t(k)",
-    "write_back": f"WITH {TRADE} SELECT id, {r('CASE WHEN id < 100 THEN cos(id * (2e0 * pi()) / 100e0) * 10e0 ELSE x END')} AS x, {r('CASE WHEN id < 100 THEN sin(id * (2e0 * pi()) / 100e0) * 10e0 ELSE y END')} AS y, {r('size')} AS size FROM nodes",
-    "neighbour_lists": f"WITH {NATION}, d AS (SELECT n.id, count(a.id) AS cnt FROM nodes n LEFT JOIN adj a ON a.id = n.id GROUP BY n.id) SELECT id, cnt, CAST(coalesce(sum(cnt) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", cnt AS listed FROM d",
+    "write_back": f"WITH {TRADE}, c AS (SELECT count(*) AS n FROM nodes) SELECT id, {r('cos(id * (2e0 * pi()) / n) * 10e0')} AS x, {r('sin(id * (2e0 * pi()) / n) * 10e0')} AS y, {r('size')} AS size FROM nodes, c",
+    "neighbour_lists": f"""WITH {TRADE}, d AS (SELECT n.id, count(a.id) AS cnt, min(other) AS first, max(other) AS last, sum(weight * (other % 1000)) AS total FROM nodes n LEFT JOIN adj a ON a.id = n.id GROUP BY n.id)
+        SELECT id, cnt, CAST(coalesce(sum(cnt) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", cnt AS listed, first, last, total FROM d""",
     "clustered_graph_stats": f"SELECT count(*) AS edges, CAST(sum(CASE WHEN src % 5 = dst % 5 THEN 1 ELSE 0 END) AS BIGINT) AS inside, max(src) AS most, max(dst) AS most_dst FROM ({random_edges(1000, 5000, 5, '0.7', 42)})",
     "community_labels": f"WITH {communities()} SELECT id, community FROM m10",
     "packed_communities": f"""WITH {communities()},
 c AS (SELECT community, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, community) - 1 AS rank FROM m10 GROUP BY community),
 p AS (SELECT m.id, n, CAST(rank AS DOUBLE) AS i, CAST(row_number() OVER (PARTITION BY m.community ORDER BY m.id) - 1 AS DOUBLE) AS k FROM m10 m JOIN c USING (community))
 SELECT id, size, {r('(cos(i * 2.399963229728653e0) * sqrt(i) * 3e0 * sqrt(n) + cos(k * 2.399963229728653e0) * sqrt(k)) * 100e0')} AS x, {r('(sin(i * 2.399963229728653e0) * sqrt(i) * 3e0 * sqrt(n) + sin(k * 2.399963229728653e0) * sqrt(k)) * 100e0')} AS y FROM p JOIN nodes USING (id)""",
-    "layout_run_snapshots": "SELECT CAST(i AS BIGINT) AS iterations, (SELECT count(*) FROM nation) AS nodes FROM (VALUES (2), (4), (4)) v(i)",
+    "layout_run_snapshots": "SELECT CAST(i AS BIGINT) AS iterations, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS nodes FROM (VALUES (2), (4), (4)) v(i)",
+    "layout_run_state": "SELECT * FROM (VALUES ('endless', true, true), ('stopped', false, true), ('finished', false, true)) v(moment, running, counted)",
+    "point_load": f"SELECT CAST(p_partkey AS BIGINT) AS id, {r('CAST(p_size AS DOUBLE)')} AS x, {r('CAST(p_retailprice AS DOUBLE)')} AS y, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN 1e0 ELSE CAST(p_partkey % 5 AS DOUBLE) END AS mass FROM part",
+    "json_graph": f"WITH {NATION}, o AS (SELECT src, count(*) AS edges, sum(weight) AS weight FROM edges GROUP BY src) SELECT CAST(id AS VARCHAR) AS id, {r('x')} AS x, {r('y')} AS y, {r('size')} AS size, edges, {r('weight')} AS weight FROM nodes LEFT JOIN o ON src = id",
+    "clustered_graph_nodes": f"""WITH e AS ({random_edges(1000, 5000, 5, '0.7', 42)}), d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
+        SELECT t.id, CAST(t.id % 5 AS INTEGER) AS cluster, {r('(' + uniform('42', 't.id * 2') + ' - 0.5e0) * 500e0')} AS x, {r('(' + uniform('42', 't.id * 2 + 1') + ' - 0.5e0) * 500e0')} AS y, {r('coalesce(n, 0) / 3e0 * 2e0')} AS size FROM range(0, 1000) t(id) LEFT JOIN d ON d.id = t.id""",
+    "sizing": """SELECT n, CAST((SELECT min(s) FROM range(0, 100) t(s) WHERE s * s >= n) AS BIGINT) AS side, (SELECT min(1 << p) FROM range(0, 20) t(p) WHERE (1 << p) >= n) AS pow2,
+        CAST(least(11, greatest(3, (SELECT min(h) FROM range(0, 20) t(h) WHERE pow(4, h) >= greatest(n, 2)))) AS BIGINT) AS depth, CAST((SELECT min(s) FROM range(0, 100) t(s) WHERE s * s >= n) AS BIGINT) AS centroids FROM range(1, 3000) t(n)""",
+    "level_arithmetic": "SELECT l AS level, CAST(pow(2, l + 1) AS BIGINT) AS side, CAST((SELECT coalesce(sum(pow(2, i + 1)), 0) FROM range(0, l) t(i)) AS BIGINT) AS first, CAST(pow(2, l + 1) AS BIGINT) AS width, CAST((SELECT sum(pow(2, i + 1)) FROM range(0, l + 1) t(i)) AS BIGINT) AS height FROM range(0, 12) t(l)",
+    "parameters": "SELECT * FROM (VALUES ('gravity', 0.2e0), ('lin_log', 1e0), ('iterations_per_frame', 25e0), ('adjust_sizes', 0e0), ('scaling_ratio', 1e0), ('max_force', 10e0)) v(name, value)",
+    "argsort_payload": "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_orderkey AS id, o_custkey AS customer FROM orders",
+    "argsort_read": "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS pos, CAST(c_custkey AS BIGINT) AS id FROM customer",
+    "async_read": f"WITH {POINTS} SELECT min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, true AS began, false AS again FROM pts",
+    "kernel_wired": f"WITH {POINTS}, c AS (SELECT (min(x) + max(x)) / 2e0 AS cx, (min(y) + max(y)) / 2e0 AS cy FROM pts) SELECT id, round((x - cx) * 2e0, 6) AS u, round((y - cy) * 2e0, 6) AS v FROM pts, c",
+    "row_kernel_joined": f"SELECT CAST(o_orderkey AS BIGINT) AS id, {r('CAST(o_totalprice AS DOUBLE) - CAST(c_acctbal AS DOUBLE)', 2)} AS u FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
+    "validate_planted": f"""WITH {POINTS}, {seeds('pts')}, {kstep('pts', 0)},
+        nn AS (SELECT count(*) AS n FROM pts), off AS (SELECT cid, cnt, coalesce(sum(cnt) OVER (ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM c1),
+        pos AS (SELECT id, cid, row_number() OVER (ORDER BY cid, id) - 1 AS pos FROM a0),
+        wrong AS (SELECT CASE WHEN id % 6 = 2 THEN id + 1 ELSE id END AS id, CASE WHEN pos % 9 = 4 THEN pos + 1 ELSE pos END AS pos FROM pos)
+        SELECT 'centroids' AS rule, count(*) AS violations FROM c1 WHERE cid % 4 IN (1, 2) OR cid = 4 OR cid = 8
+        UNION ALL SELECT 'assignments', count(*) FROM pts WHERE id % 7 = 3 OR id % 5 = 0 OR id % 11 = 5
+        UNION ALL SELECT 'offsets', count(*) FROM off, nn WHERE cid = 0 OR (cid = {K - 1} AND cnt > 0)
+        UNION ALL SELECT 'counts', 1
+        UNION ALL SELECT 'ranges', count(*) FROM pos JOIN off USING (cid), nn WHERE n - 1 - pos < o OR n - 1 - pos >= o + cnt
+        UNION ALL SELECT 'order', (SELECT count(*) FROM (SELECT coalesce(p.id, w.id) AS id FROM pts p FULL JOIN (SELECT id, count(*) AS c FROM wrong GROUP BY id) w ON w.id = p.id WHERE coalesce(c, 0) <> 1 OR p.id IS NULL))
+            + (SELECT count(*) FROM (SELECT pos FROM wrong GROUP BY pos HAVING count(*) > 1))""",
 }

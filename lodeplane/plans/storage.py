@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast in a nested loop: some 60 bytes each, 12 MB.
@@ -14,13 +14,22 @@ BLOCK_ROWS = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder that the cluster names; a temporary one only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodeplane-"))
+    """df as a checkpoint in the shared folder that the cluster names; a temporary one only for a local master."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints: the one that spark.checkpoint.dir names, or, of a local master only, a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeplane-"))
+    return sc.getCheckpointDir()
+
+
 def all_pairs(left: DataFrame, right: DataFrame, on: Column | None = None) -> DataFrame:
     """Each row of left with each of right that `on` allows: the theta joins of the exact operators.
 
@@ -43,5 +52,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def total_sum(df: DataFrame, key: str, *cols: str) -> DataFrame:
-    return df.groupBy(key).agg(*(F.sum(c).alias(c) for c in cols))
+def within(left: DataFrame, right: DataFrame, key: str, other: str, block: int = BLOCK_ROWS // 50) -> DataFrame:
+    """Each row of left with each of right whose `other` equals its `key`, no key's rows in one task.
+
+    Both sides of a key are dealt into blocks of about `block` rows and each two blocks meet in a task of their own. The
+    counts are one row per key.
+    """
+    many = right.groupBy(F.col(other).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    deal = lambda df, c: df.join(many, df[c] == F.col("_key")).drop("_key").withColumn("_own", F.pmod(F.xxhash64(*df.columns), F.col("_blocks")).cast("int"))
+    l, r = deal(left, key), deal(right, other)
+    to = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    l = l.withColumn("_other", F.explode(to)).drop("_blocks").withColumnsRenamed({"_own": "_lb", "_other": "_rb"})
+    r = r.withColumn("_other", F.explode(to)).drop("_blocks").withColumnsRenamed({"_own": "_rb2", "_other": "_lb2"})
+    return l.join(r, (l[key] == r[other]) & (F.col("_lb") == F.col("_lb2")) & (F.col("_rb") == F.col("_rb2"))).drop("_lb", "_rb", "_lb2", "_rb2")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import time
+from collections import deque
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
@@ -58,9 +59,14 @@ class ForceLayout:
     """A force-directed layout that runs for a number of iterations or until it is stopped.
 
     on_snapshot(nodes, iterations) gets the nodes with their present positions at most every sync_interval seconds, and at
-    the end. start(n) runs the first frame before it returns; with n = -1 the rest runs in a thread until stop().
+    the end. It runs in a thread of its own, so it doesn't hold up the iterations; while IN_FLIGHT of them wait, the run
+    waits for the oldest. start(n) runs the first frame before it returns; with n = -1 the rest runs in a thread until
+    stop(). An error in an iteration or a snapshot ends the run and is raised by wait() and stop().
     """
 
+    #: Snapshots that may be under way at a time.
+    IN_FLIGHT = 2
+
     def __init__(self, nodes: DataFrame, edges: DataFrame, settings: Settings = Settings(), on_snapshot: Callable[[DataFrame, int], None] | None = None, output_reducer: Callable[[DataFrame], DataFrame] | None = None) -> None:
         self.layout = Layout(nodes, edges, settings)
         self.settings, self.on_snapshot, self.output_reducer = settings, on_snapshot, output_reducer
@@ -69,6 +75,9 @@ class ForceLayout:
         self._stop = threading.Event()
         self._thread: threading.Thread | None = None
         self._shown = 0.0
+        self._error: BaseException | None = None
+        self._pool: ThreadPoolExecutor | None = None
+        self._flight: deque[Future] = deque()
 
     def nodes(self) -> DataFrame:
         """The nodes with the layout's positions, their other attributes untouched."""
@@ -81,9 +90,14 @@ class ForceLayout:
         self.layout.read()
         self._running, self._shown = True, time.monotonic()
         frame = self.settings.iterations_per_frame
-        left = self._frame(frame if iterations < 0 else min(frame, iterations), iterations)
+        try:
+            left = self._frame(frame if iterations < 0 else min(frame, iterations), iterations)
+        except BaseException:
+            self._running = False
+            raise
         if left == 0:
             self._finish()
+            self._raise()
         else:
             self._thread = threading.Thread(target=self._run, args=(left,), daemon=True)
             self._thread.start()
@@ -98,33 +112,62 @@ class ForceLayout:
         self.metrics.seconds += time.monotonic() - began
         if self.on_snapshot and time.monotonic() - self._shown >= self.settings.sync_interval:
             self._shown = time.monotonic()
-            self.on_snapshot(self.nodes(), self.layout.total_iterations)
+            self._snapshot()
         return left if left < 0 else left - done
 
+    def _snapshot(self) -> None:
+        """Hands the present nodes to on_snapshot in the snapshots' thread; waits for the oldest beyond IN_FLIGHT."""
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(1)
+        while len(self._flight) >= self.IN_FLIGHT:
+            self._flight.popleft().result()
+        self._flight.append(self._pool.submit(self.on_snapshot, self.nodes(), self.layout.total_iterations))
+
     def _run(self, left: int) -> None:
-        while left and not self._stop.is_set():
-            left = self._frame(self.settings.iterations_per_frame if left < 0 else min(self.settings.iterations_per_frame, left), left)
+        try:
+            while left and not self._stop.is_set():
+                left = self._frame(self.settings.iterations_per_frame if left < 0 else min(self.settings.iterations_per_frame, left), left)
+        except BaseException as e:
+            self._error = e
         self._finish()
 
     def _finish(self) -> None:
-        if self._running:
-            self._running = False
-            if self.on_snapshot:
-                self.on_snapshot(self.nodes(), self.layout.total_iterations)
+        """The last snapshot, unless the run failed; snapshots under way are waited for."""
+        if not self._running:
+            return
+        self._running = False
+        try:
+            if self.on_snapshot and self._error is None:
+                self._snapshot()
+            while self._flight:
+                self._flight.popleft().result()
+        except BaseException as e:
+            self._error = self._error or e
+        if self._pool is not None:
+            self._pool.shutdown()
+            self._pool = None
+        self._flight.clear()
+
+    def _raise(self) -> None:
+        error, self._error = self._error, None
+        if error is not None:
+            raise error
 
     def stop(self) -> None:
-        """Ends after the iteration under way."""
+        """Ends after the iteration under way. Raises what the run failed with."""
         self._stop.set()
         if self._thread is not None and self._thread is not threading.current_thread():
             self._thread.join()
             self._thread = None
         self._finish()
+        self._raise()
 
     def wait(self) -> None:
-        """Until a run of a given number of iterations is over."""
+        """Until a run of a given number of iterations is over. Raises what the run failed with."""
         if self._thread is not None:
             self._thread.join()
             self._thread = None
+        self._raise()
 
     def run(self) -> DataFrame:
         """One frame: iterations_per_frame iterations."""
@@ -140,15 +183,15 @@ class ForceLayout:
 
     def kmeans(self):
         if not isinstance(self.settings.repulsion, Clusters) or self.settings.repulsion.node_to_node:
-            raise RuntimeError("k-means repulsion is not enabled")
+            raise RuntimeError('k-means is not initialized. Use repulsion type "k-means" to enable it.')
         return self.layout.found
 
     def grouped_kmeans(self):
         if not isinstance(self.settings.repulsion, Clusters) or not self.settings.repulsion.node_to_node:
-            raise RuntimeError("grouped k-means repulsion is not enabled")
+            raise RuntimeError('Grouped k-means is not initialized. Use repulsion type "k-means" with node_to_node: True to enable it.')
         return self.layout.found
 
     def quad_tree(self) -> DataFrame:
         if not isinstance(self.settings.repulsion, QuadTree):
-            raise RuntimeError("quad-tree repulsion is not enabled")
+            raise RuntimeError('The quad-tree is not initialized. Use repulsion type "quad-tree" to enable it.')
         return pyramid(self.layout.state, self.settings.repulsion.depth or default_depth(self.layout.context.n))

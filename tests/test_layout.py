@@ -209,3 +209,109 @@ def test_empty_graph(spark):
     layout.read()
     layout.iterate()
     assert layout.state.count() == 0
+
+
+def test_blocks_of_a_key_give_the_plain_join(spark):
+    from lodeplane.plans.storage import within
+
+    left = spark.createDataFrame([(k, k % 3 and k % 7) for k in range(300)], "id long, key long")
+    right = spark.createDataFrame([(k, k % 2 and k % 7) for k in range(200)], "oid long, other long")
+    got = within(left, right, "key", "other", block=20)
+    want = left.join(right, left.key == right.other)
+    assert sorted(map(tuple, got.select("id", "key", "oid", "other").collect())) == sorted(map(tuple, want.select("id", "key", "oid", "other").collect()))
+
+
+def test_fine_levels_are_joined_by_cell(spark, monkeypatch):
+    """With no level broadcast, or all, forces are the same; the bound keeps broadcasts to BROADCAST_ROWS rows."""
+    from lodeplane.operators import forces
+    from lodeplane.plans.storage import BROADCAST_ROWS
+
+    assert forces.coarse_levels(12, 1) < 12 and sum(4 ** (k + 1) * 36 for k in range(forces.coarse_levels(12, 1))) <= BROADCAST_ROWS
+    state = spark.createDataFrame([(k, (k * 37 % 101) / 3.0, (k * 53 % 89) / 7.0, 1.0 + k % 3, 0.0) for k in range(200)], "id long, x double, y double, mass double, size double").cache()
+    found = []
+    for coarse in (0, 3, 6):
+        monkeypatch.setattr(forces, "coarse_levels", lambda depth, ring, c=coarse: c)
+        found.append({r.id: (round(r.fx, 6), round(r.fy, 6)) for r in forces.repulsion_quad_tree(state, 6).collect()})
+        assert forces.coverage(state, 6, 1).where("felt != 199").count() == 0
+    assert found[0] == found[1] == found[2]
+
+
+def test_errors_of_a_run_reach_the_caller(spark):
+    import time
+
+    from lodeplane.sources import clustered_graph
+    from lodeplane.streaming import ForceLayout
+
+    g = clustered_graph(spark, 20, 40, 2)
+    run = ForceLayout(g.nodes, g.edges, Settings(iterations_per_frame=1))
+    plain, calls = run.layout.iterate, []
+
+    def failing():
+        calls.append(1)
+        if len(calls) > 1:
+            raise OSError("lost")
+        plain()
+
+    run.layout.iterate = failing
+    run.start(3)
+    with pytest.raises(OSError, match="lost"):
+        run.wait()
+    assert not run.is_running()
+    run.stop()  # the error was told once
+
+    def slow(nodes, i):
+        time.sleep(0.2)
+        raise KeyError("snapshot")
+
+    shown = ForceLayout(g.nodes, g.edges, Settings(iterations_per_frame=1, sync_interval=0.0), slow)
+    with pytest.raises(KeyError, match="snapshot"):
+        shown.start(2)
+        shown.wait()
+    assert not shown.is_running()
+
+
+def test_accessors_name_the_mode(spark):
+    from lodeplane.streaming import ForceLayout
+
+    empty = spark.createDataFrame([], "id long, x double, y double"), spark.createDataFrame([], "src long, dst long, weight double")
+    run = ForceLayout(*empty)
+    for name, text in (("kmeans", "k-means"), ("grouped_kmeans", "node_to_node"), ("quad_tree", "quad-tree")):
+        with pytest.raises(RuntimeError, match=f"not initialized.*{text}"):
+            getattr(run, name)()
+
+
+def test_kernels_are_wired_by_name(spark):
+    import pandas as pd
+
+    from lodeplane.operators.kernel import RowKernel, wire
+
+    rows = spark.createDataFrame([(k, float(k)) for k in range(4)], "id long, v double")
+    twice = RowKernel(lambda b, t: pd.DataFrame({"id": b.id, "v": b.v * 2}), "id long, v double")
+    total = RowKernel(lambda b, t: pd.DataFrame({"id": b.id, "s": b.v + t["twice"].v.sum()}), "id long, s double", {"twice": rows})
+    got = wire({"twice": (twice, rows), "total": (total, rows)})["total"]
+    assert {r.id: r.s for r in got.collect()} == {k: k + 12.0 for k in range(4)}
+    short = RowKernel(total.fn, total.outputs, {"twice": rows.limit(3)})
+    with pytest.raises(ValueError, match='Cannot bind output table "twice" from "twice" to "total": Size mismatch'):
+        wire({"twice": (twice, rows), "total": (short, rows)})
+    shared = RowKernel(total.fn, total.outputs, {"data": rows})
+    with pytest.raises(ValueError, match='Cannot bind data table "data" from "a" to "b": Size mismatch'):
+        wire({"a": (shared, rows), "b": (RowKernel(total.fn, total.outputs, {"data": rows.limit(2)}), rows)})
+    with pytest.raises(ValueError, match="several rows"):
+        RowKernel(twice.fn, twice.outputs, lookups={"x": (rows.union(rows), "id")}).compute(rows)
+
+
+def test_prefix_sums_have_one_shuffle_of_rows(spark):
+    from lodeplane.operators.ordering import prefix_sums
+
+    df = spark.createDataFrame([(k * 7919 % 1000, k % 5) for k in range(1000)] + [(None, 3)], "id long, size long")
+    got = prefix_sums(df, "id", "size")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window") >= 1
+    plan = got._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(_part") <= 2 and "rangepartitioning" not in plan
+    rows = sorted(got.collect(), key=lambda r: (r.id is not None, r.id))
+    run = 0
+    for r in rows:
+        assert r.offset == run
+        run += r.size
+    names = prefix_sums(df.selectExpr("lpad(cast(id as string), 4, '0') as id", "size").where("id is not null"), "id", "size")
+    assert max(r.offset + r.size for r in names.collect()) == sum(k % 5 for k in range(1000))
