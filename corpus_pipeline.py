@@ -1,6 +1,9 @@
 """The corpus pipeline: toxic documents go, then exact copies, then near copies; sources are mixed; texts are encoded.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages
+decide by row: null texts count as empty and are not toxic; of rows that repeat a text one stays; rows with a null or
+repeated id are rows like any other; very long texts are read whole; an empty table passes through as one. Columns beyond
+those named doc_id and text go through unread, whatever they are called.
 """
 
 from __future__ import annotations
@@ -8,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeplane.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from lodeplane.llm.common import crc_mod, table, written
+from lodeplane.llm.common import crc_mod, scratch, table, written
 from lodeplane.llm.queries import TARGETS, domains, vocabulary
 
 
@@ -19,22 +22,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts (but for A-Z and a-z), the document with the largest id; documents without an id give way to others."""
     return exact_dedup.drop_exact_duplicates(docs, keep="max", fold_case=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the least id."""
+    """Of each class of near duplicates, the document with the least id; texts without a word are no class and stay."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says; the classifier is fitted on labelled documents of the stage's own input."""
+    """Each document as often as its rate says, 0 times among them; the classifier is fitted on labelled documents of the stage's own input."""
     return mixing.mixed(docs, domains(spark, sf_dir), TARGETS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, their digest, and the digest of the bytes decoded from them."""
+    """Ids of each document, their digest, and the digest of the bytes decoded from them; an empty text has no ids."""
     words = vocabulary()
     encoded = bpe.encode(docs, words)
     return encoded.select("doc_id", "n_tokens", "ids", *(c.alias(n) for n, c in bpe.digest_columns(words).items()))
@@ -47,9 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after another over written tables, of which only the last stage's input is left."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name)
-    return docs
+    with scratch(spark) as here:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, here.keep(docs), sf_dir)

@@ -197,10 +197,10 @@ def remaining(left: DataFrame, root: DataFrame, content: DataFrame, s: Settings)
     """
     member = left.join(root.withColumnRenamed("node", "seq"), "seq", "left").select("key", "seq", "n", F.coalesce("root", "seq").alias("comp"))
     member = written(member, "members")
-    each = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    each = written(member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")), "each")
     # rounds of leaders test the one pair of a bucket of two
-    whole = each.groupBy("key").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("parts")).where("c > 2 and parts > 1").select("key", "c")
-    each = written(each.join(whole, "key").select("key", "comp", "c", "m", F.when(F.col("m") >= s.block, F.col("comp")).otherwise(F.lit(b"")).alias("pool")), "parts")
+    whole = written(each.groupBy("key").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("parts")).where("c > 2 and parts > 1"), "whole")
+    each = written(even_join(each, whole, ["key"], "parts").select("key", "comp", "c", "m", F.when(F.col("m") >= s.block, F.col("comp")).otherwise(F.lit(b"")).alias("pool")), "parts")
     # lengths of a similar pair differ by one such step at most
     step = F.when(F.col("c") <= s.block, 0).otherwise(F.floor(F.log("n") / float(np.log((2 - s.similarity) / s.similarity)) + 1e-9)).cast("int")
     member = written(even_join(member, each, ["key", "comp"], "m").select("key", "seq", "comp", "pool", step.alias("step")), "unsettled")
