@@ -259,11 +259,6 @@ def test_quality(spark, odd, empty, labels):
     assert {r.predicted for r in quality.score(odd, none, settings=s).collect()} == {0}
 
 
-def test_isotonic():
-    at, share = quality.isotonic(np.arange(6.0), np.array([0, 1, 0, 1, 1, 1.0]), np.ones(6))
-    assert list(share) == sorted(share) and len(at) == len(share)
-
-
 def test_mixing_meets_its_targets(spark, odd, empty, labels):
     docs = spark.createDataFrame([(i, prose(i, 60) if i % 3 else "| x | y | " * 40) for i in range(300)], "doc_id long, text string")
     known = spark.createDataFrame([(i, "high" if i % 3 else "low") for i in range(0, 300, 2)] + [(1, "other"), (5, None)], "doc_id long, domain string")
