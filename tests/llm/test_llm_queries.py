@@ -41,9 +41,12 @@ def test_held_out_languages_and_labels(spark):
     assert lang.where("lang = lang_pred").count() > 0.98 * lang.count()
     quality = QUERIES["op5_quality"](spark, sf).where("held_out").join(labels, "doc_id")
     assert quality.where("predicted = quality").count() > 0.95 * quality.count()
+    # a lexicon takes more labelled rows than the other models
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
     toxic = QUERIES["op9_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").where("toxic is not null").toPandas()
     hits, found = toxic[toxic.toxic == 1], toxic[toxic.predicted == 1]
-    assert hits.predicted.mean() >= 0.8 and found.toxic.mean() >= 0.9
+    assert hits.predicted.mean() >= 0.9 and found.toxic.mean() >= 0.9
 
 
 def test_bpe_of_more_words_than_its_table(spark):
