@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 Texts are cut into words by the vocabulary's pattern. A word's bytes are an array of ids; a fold merges, step by step, the
-leftmost pair of the lowest rank, with ranks in a literal hash table. The most frequent distinct words are folded once and
-kept in a table of fixed size, which is broadcast. Documents are then put together from that table in one pass without a
-shuffle; words outside of it are merged in place by a heap over the same ranks, as folding millions of rare words in
-interpreted higher-order functions takes more CPU time than there is (see README). Both give the same ids for any word.
-Decoding is Spark's again: the binary pieces of the ids, from a literal array, concatenated.
+leftmost pair of the lowest rank, with ranks in a literal hash table. Every distinct word of all texts that is no token
+itself is folded once. For that, texts are dealt into chunks of a bounded size, each with a dictionary of its own words: a
+text becomes places in its chunk's dictionary, the dictionaries' words meet and are folded, and their ids go back to the
+chunks by joins. Only words longer than any prose has are merged where they stand, by a heap over the same ranks, as a
+fold's time grows with the square of a word's length. Decoding concatenates the binary pieces of the ids, from a literal
+array.
 
 Ranks are read on the driver from a file given by path, and travel in the plan as literals of fixed size.
 """
@@ -19,11 +20,14 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeplane.llm.common import id_sample, map_texts, written
+from lodeplane.llm.common import even_join, modest_batches, scratch, written
 
 # Fixed value: the code points that the pattern's \s stands for (Unicode's White_Space).
 WHITE = "\\t\\n\\u000b\\f\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -33,14 +37,10 @@ NONE = 1 << 30
 
 @dataclass(frozen=True)
 class Settings:
-    #: Words of the table of frequent words.
-    words: int = 50_000
-    #: Words outside of the table that a task remembers between batches, about.
-    cached: int = 100_000
-    #: Documents, of smallest hashed id, whose words fill that table. It saves time and never changes a result.
-    sample_rows: int = 20_000
-    #: Longer words (in bytes) stay out of the table: the fold is quadratic in a word's length, the heap n log n.
-    longest: int = 64
+    #: Longer words (in bytes) are merged by the heap: the fold is quadratic in a word's length, the heap n log n.
+    longest: int = 1024
+    #: Characters of the texts that share a dictionary, about; a longer text has one of its own.
+    chunk: int = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -232,44 +232,109 @@ def merge_by_rule(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
+def packed_places(at: list[int]) -> bytes:
+    """Places in a dictionary, byte plane by byte plane, so that the mostly empty high bytes cost nothing."""
+    planes = np.array(at, "<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def places(pack: bytes) -> list[int]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(pack), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").tolist()
+
+
+def numbered(words: list[str], local: dict[str, int]) -> list[int]:
+    """Places of a text's words in its chunk's dictionary, which takes the new ones."""
+    at = [*map(local.get, words)]
+    if None in at:
+        for k, x in enumerate(at):
+            if x is None:
+                at[k] = local.setdefault(words[k], len(local))
+    return at
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """id_col, ids (decimals joined by commas) and n_tokens of each row's whole text.
 
     Null counts as empty, which has no ids. Strings that other vocabularies treat as special are ordinary text. Very long
-    words are merged in n log n time. Repeated rows are encoded each; an empty table gives no rows. Letters and digits are
-    those of the regex library's Unicode version.
+    words are merged in n log n time; a very long text is a chunk of its own. Repeated rows, and rows without an id, are
+    encoded each; an empty table gives no rows. Other columns are ignored. Letters and digits are those of the regex
+    library's Unicode version.
     """
+    spark = df.sparkSession
+    modest_batches(spark)
     lit = Literals(vocabulary)
+    ranks = spark.sparkContext.broadcast(vocabulary.ranks)  # of fixed size
+    pattern, id_type = vocabulary.java_pattern(), df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    chosen = id_sample(rows.select("_id"), "_id", settings.sample_rows).distinct()
-    words = (
-        rows.join(F.broadcast(chosen), "_id")  # sample_rows ids
-        .select(F.explode(F.regexp_extract_all("_text", F.lit(vocabulary.java_pattern()), F.lit(0))).alias("w"))
-        .where(F.octet_length("w") <= settings.longest).groupBy("w").count()
-        .orderBy(F.desc("count"), "w").limit(settings.words)
-    )
-    # a written table and a plan without an exchange: the plan, whose text holds the rank table, is then kept once
-    words = written(words.select("w").repartition(2 * df.sparkSession.sparkContext.defaultParallelism), "words")
-    with short_plan_texts(df.sparkSession):
-        folded = words.select("w", lit.encode_word(F.col("w")).alias("ids")).toArrow()  # `words` rows
-    known = dict(zip(folded.column("w").to_pylist(), folded.column("ids").to_pylist(), strict=True))
-    shared = df.sparkSession.sparkContext.broadcast((vocabulary.ranks, known))  # both of fixed size
-    pattern = vocabulary.java_pattern()
-
-    def task():
-        ranks, table = shared.value
-        find = regex.compile(pattern).findall
-        merged: dict[str, str] = {}  # rare words of the texts just seen
-
-        def run(texts: list) -> list:
-            if len(merged) > settings.cached:
-                merged.clear()
-            ids = [ids_of(t, find, table, merged, ranks) for t in texts]
-            return [ids, [x.count(",") + (x != "") for x in ids]]
-
-        return run
-
-    return map_texts(rows, ["_id"], F.col("_text"), task, "ids string, n_tokens long").withColumnRenamed("_id", id_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text as places in its chunk's dictionary, and the dictionaries: of a word its ids if it is a token or too long, else itself."""
+        find, known = regex.compile(pattern).findall, ranks.value
+        local: dict[str, int] = {}
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+
+        def entries() -> Iterator[pa.RecordBatch]:
+            words = [*local]
+            for start in range(0, len(words), 10_000):
+                some = words[start : start + 10_000]
+                w, ids = [], []
+                for x in some:
+                    raw = x.encode()
+                    r = known.get(raw)
+                    ids.append(str(r) if r is not None else ",".join(map(str, merge(raw, known))) if len(raw) > settings.longest else None)
+                    w.append(x if ids[-1] is None else None)
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(range(start, start + n), pa.int32()), pa.array(w, pa.string()), pa.array(ids, pa.string()), pa.nulls(n, type_), pa.nulls(n, pa.binary())], names=names)
+
+        names, type_ = ["p", "i", "w", "ids", "_id", "pack"], None
+        for batch in batches:
+            type_ = batch.column("_id").type
+            at, packs = [], []
+            for t in batch.column("_text").to_pylist():
+                at.append(chunk)
+                packs.append(packed_places(numbered(find(t), local)))
+                size += len(t)
+                if size >= settings.chunk:
+                    yield from entries()
+                    local.clear()
+                    chunk, size = chunk + 1, 0
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), batch.column("_id"), pa.array(packs, pa.binary())], names=names)
+        yield from entries()
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts from their places. Rows come by chunk, its dictionary first and in order."""
+        chunk, table = None, []
+        for batch in batches:
+            keep, out = [], []
+            for k, (p, i, ids, pack) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("p", "i", "ids", "pack")), strict=True)):
+                if p != chunk:
+                    chunk, table = p, []
+                if i is not None:
+                    if i != len(table):
+                        raise ValueError(f"chunk {p} has no word {len(table)}")
+                    table.append(ids)
+                else:
+                    keep.append(k)
+                    out.append(",".join(map(table.__getitem__, places(pack))))
+            n = [x.count(",") + (x != "") for x in out]
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(keep, pa.int32())), pa.array(out, pa.string()), pa.array(n, pa.int64())], names=["_id", "ids", "n_tokens"])
+
+    with scratch(spark) as here:
+        made = here.keep(written(rows.mapInArrow(cut, f"p long, i int, w string, ids string, _id {id_type}, pack binary"), "cut"))
+        entry = made.where("i is not null").select("p", "i", "w", "ids")
+        tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        words = written(entry.where("w is not null").select("w").repartition(tasks, "w").groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
+        # from a written table the plan has no exchange: its text, which holds the rank table, is then kept once
+        with short_plan_texts(spark):
+            folded = here.keep(written(words.select("w", "c", lit.encode_word(F.col("w")).alias("ids")), "folded"))
+        found = even_join(entry.where("w is not null").select("p", "i", "w"), folded, ["w"], "c").select("p", "i", "ids")
+        found = found.unionByName(entry.where("w is null").select("p", "i", "ids"))
+        found = found.select("p", "i", "ids", F.lit(None).cast(id_type).alias("_id"), F.lit(None).cast("binary").alias("pack"))
+        texts = made.where("i is null").select("p", "i", "ids", "_id", "pack")
+        met = found.unionByName(texts).repartition("p").sortWithinPartitions("p", F.col("i").asc_nulls_last())
+        return met.mapInArrow(put, f"_id {id_type}, ids string, n_tokens long").withColumnRenamed("_id", id_col)
 
 
 @contextmanager
@@ -284,20 +349,6 @@ def short_plan_texts(spark) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def ids_of(text: str, find, table: dict[str, str], merged: dict[str, str], ranks: dict[bytes, int]) -> str:
-    """Ids of a text; merged takes the words that neither dictionary has yet."""
-    words = find(text)
-    out = [*map(table.get, words)]
-    if None in out:
-        for k, ids in enumerate(out):
-            if ids is None:
-                w = words[k]
-                if w not in merged:
-                    merged[w] = ",".join(map(str, merge(w.encode(), ranks)))
-                out[k] = merged[w]
-    return ",".join(out)
-
-
 def digest_columns(vocabulary: Vocabulary) -> dict[str, Column]:
     """The digest of the ids and the digest of the decoded bytes, over a column ids."""
     ids = F.col("ids")

@@ -228,6 +228,21 @@ def test_bpe_documents(odd, empty, words, library):
     assert bpe.encode(empty, words).count() == 0
 
 
+def test_bpe_of_small_chunks(spark, odd, words, library):
+    """Chunks of one text or few, words over the length of the fold, and a hot word: as the library has it."""
+    s = bpe.Settings(longest=6, chunk=100)
+    docs = spark.createDataFrame([(k, f"zzqqy common{k % 3} " + prose(k, k % 40)) for k in range(120)] + [(None, "zzqqy"), (None, None)], "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.ids, r.n_tokens) for r in bpe.encode(docs, words, settings=s).collect())
+    ids = lambda t: library.encode_ordinary(t or "")
+    assert got == collections.Counter((r.doc_id, ",".join(map(str, ids(r.text))), len(ids(r.text))) for r in docs.collect())
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
+def test_places_come_back(at):
+    assert bpe.places(bpe.packed_places(at)) == at
+
+
 def test_bpe_fold_equals_heap(spark, words):
     some = sorted({w for k in range(40) for w in prose(k, 20).split()})[:150] + ["zzzqqq", "éàü", "日本語", "👍👍", "    ", "don", "…–"]
     lit = bpe.Literals(words)
