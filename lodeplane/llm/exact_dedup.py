@@ -45,7 +45,8 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of df that exact_dedup keeps, with all columns of df; rows of equal id and text are one row.
 
     A row is known by its id and the digest of its text, so null and repeated ids decide for no other text. Only the rows
-    that go are joined (an anti join): rows whose text is unique need no partner.
+    that go are joined (an anti join): rows whose text is unique need no partner. Null text counts as empty; very long texts
+    are compared whole; an empty table gives no rows. Other columns go through as they are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.sha2(F.translate(text, UPPER, LOWER) if fold_case else text, 256)

@@ -110,7 +110,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """id_col, lang_pred, score for each row, from its whole text alone.
 
     Null texts and texts without a letter give `und` with score 0. Ties go to the first language by name. Very long
-    texts cost time in proportion; a batch is worked in parts of a million characters. Repeated rows are scored each.
+    texts cost time in proportion; a batch is worked in parts of a million characters. Repeated rows, and rows without an
+    id, are scored each; an empty table gives no rows. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -114,8 +114,9 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """id_col, score, predicted for each row, from the statistics of its whole text alone.
 
-    Null and empty texts have statistics of zero and are scored like any other. Repeated rows are scored each; an empty
-    table gives no rows.
+    Null and empty texts have statistics of zero and are scored like any other. Very long texts cost time in proportion to
+    their length. Equal statistics give equal scores. Repeated rows, and rows without an id, are scored each; an empty
+    table gives no rows. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 

@@ -224,7 +224,8 @@ def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str
     """id_col, score, predicted, n_hits for each row; whole texts; nothing but the text is looked at.
 
     Null and empty texts, and texts without a word, get the score of a text without a hit. Very long texts cost time in
-    proportion to their length. Repeated rows are scored each. The lexicon is bounded by settings.lexicon_size.
+    proportion to their length. Repeated rows, and rows without an id, are scored each; an empty table gives no rows. Other
+    columns are ignored. The lexicon is bounded by settings.lexicon_size.
     """
 
     def task():
