@@ -32,7 +32,7 @@ def size_by_degree(nodes: DataFrame, edges: DataFrame, factor: float = 5.0) -> D
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node reaches. Least neighbours are passed on, then labels jump to their label's label."""
-    adj = adjacency(edges).select("id", "other").distinct()
+    adj = cut(adjacency(edges).select("id", "other").distinct())  # each round reads it
     label = cut(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = adj.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("least"))
@@ -58,7 +58,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
 
     An approximation of modularity clustering. Weights are summed to 9 digits, so ties don't hang on the order; rounds are synchronous and end when no label changes.
     """
-    adj = adjacency(edges)
+    adj = cut(adjacency(edges))
     own = F.lit(1e-6)
     label = cut(nodes.select("id", F.col("id").alias("community")))
     for _ in range(rounds):
