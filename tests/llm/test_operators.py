@@ -296,6 +296,23 @@ def test_mixing_meets_its_targets(spark, odd, empty, labels):
     assert mixing.rated(odd, known, targets).count() == odd.count() and mixing.mixed(empty, known, targets).count() == 0
 
 
+def test_mixing_reaches_targets_of_soft_posteriors(spark):
+    """Posteriors that hardly differ, where plain gradient steps end far from the targets; an unreachable target is told."""
+    r = random.Random(3)
+    rows = [(r.randrange(10, 200), (p := 0.4 + 0.2 * r.random(), 1 - p)) for _ in range(400)]
+    member = spark.createDataFrame([(n, list(p)) for n, p in rows], "n_tokens long, p array<double>").cache()
+    model = mixing.Model(["a", "b"], np.zeros(0), np.zeros(0), np.zeros((0, 0)))
+    total = sum(n for n, _ in rows)
+    for goal in (0.47, 0.53, 0.55):
+        mix = mixing.fit_rates(member, model, {"a": goal, "b": 1 - goal})
+        rates = mix.rates(np.array([p for _, p in rows]))
+        share = sum(n * x * p[0] for (n, p), x in zip(rows, rates)) / total
+        assert (rates >= 0).all() and share == pytest.approx(goal, abs=2e-3) and mix.reached["a"] == pytest.approx(share, abs=1e-9)
+        assert sum(n * x for (n, _), x in zip(rows, rates)) == pytest.approx(total, rel=5e-3)
+    far = mixing.fit_rates(member, model, {"a": 1.0, "b": 0.0})
+    assert abs(far.reached["a"] - 1.0) < 0.5 and (far.rates(np.array([p for _, p in rows])) >= 0).all()
+
+
 # ---------- media
 
 
