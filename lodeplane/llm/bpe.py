@@ -40,7 +40,7 @@ class Settings:
     #: Longer words (in bytes) are merged by the heap: the fold is quadratic in a word's length, the heap n log n.
     longest: int = 1024
     #: Characters of the texts that share a dictionary, about; a longer text has one of its own.
-    chunk: int = 1 << 22
+    chunk: int = 1 << 24
 
 
 @dataclass(frozen=True)
