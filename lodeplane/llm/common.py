@@ -101,10 +101,11 @@ def even_join(left: DataFrame, right: DataFrame, keys: list[str], count: str) ->
     The rows of hot keys stay where they are and meet a broadcast of right's rows: by the meaning of hot fewer than HOT
     keys, whatever the input. The others are shuffled by key. No key's rows meet in one task but for cold ones.
     """
-    total = right.agg(F.sum(count)).first()[0] or 0
-    hot = (F.col(count) > HOT) & (F.col(count) * HOT > total)
-    if not right.where(hot).limit(1).count():
+    row = right.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    total = row.total or 0
+    if not total or row.most <= HOT or row.most * HOT <= total:
         return left.join(right, keys)
+    hot = (F.col(count) > HOT) & (F.col(count) * HOT > total)
     return left.join(F.broadcast(right.where(hot)), keys).unionByName(left.join(right.where(~hot), keys))
 
 

@@ -317,8 +317,9 @@ def test_mixing_reaches_targets_of_soft_posteriors(spark):
 
 
 def test_media(odd, empty):
-    got = by_id(media.media(odd))
-    assert media.media(odd).count() == odd.count() and media.media(empty).count() == 0
+    found = media.media(odd).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == odd.count() and media.media(empty).count() == 0
     for r in odd.collect():
         raw = (r.text or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
@@ -563,8 +564,9 @@ def test_near_dedup(spark, odd, empty):
     assert [got[i].class_id for i in range(len(rows))] == want
     sizes = collections.Counter(want)
     assert all(got[i].class_size == sizes[want[i]] for i in range(len(rows)))
-    x = by_id(near_dedup.near_duplicates(odd))
-    assert near_dedup.near_duplicates(odd).count() == odd.count() and near_dedup.near_duplicates(empty).count() == 0
+    found = near_dedup.near_duplicates(odd).collect()
+    x = {r.doc_id: r for r in found}
+    assert len(found) == odd.count() and near_dedup.near_duplicates(empty).count() == 0
     assert x[0].class_id == 0 and x[1].class_id == 1 and x[3].class_id == x[4].class_id == x[None].class_id == 3 and x[9].class_id == 8 and x[11].class_id == 10
     left = near_dedup.drop_near_duplicates(docs)
     assert left.columns == docs.columns and sorted(x.doc_id for x in left.collect()) == sorted(sizes)
@@ -609,7 +611,7 @@ def edited(seed, n, words=200, edits=(2, 3, 4)):
 
 def test_near_dedup_of_a_large_family_without_its_base(spark):
     """No text is within 0.8 of all others, so leaders alone miss links; lengths differ in a second family."""
-    texts = edited(5, 900, edits=(14, 22, 28)) + [t + " " + prose(k, k % 70) for k, t in enumerate(edited(6, 200, edits=(10, 20)))]
+    texts = edited(5, 500, edits=(14, 22, 28)) + [t + " " + prose(k, k % 70) for k, t in enumerate(edited(6, 120, edits=(10, 20)))]
     want = classes_of_all_pairs(texts)
     assert 1 < len(set(want)) < len(want)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
