@@ -315,3 +315,15 @@ def test_prefix_sums_have_one_shuffle_of_rows(spark):
         run += r.size
     names = prefix_sums(df.selectExpr("lpad(cast(id as string), 4, '0') as id", "size").where("id is not null"), "id", "size")
     assert max(r.offset + r.size for r in names.collect()) == sum(k % 5 for k in range(1000))
+
+
+def test_kmeans_steps_shuffle_no_points(spark):
+    """A step is a map and an aggregate: no exchange or join by a point's id."""
+    from lodeplane.operators import clusters
+
+    points = spark.range(500).selectExpr("id", "cast(id * 37 % 101 as double) as x", "cast(id * 53 % 89 as double) as y", "1.0D as mass").cache()
+    start = spark.createDataFrame([(k, 20.0 * k, 15.0 * k, 0.0, 0) for k in range(5)], "cid int, x double, y double, mass double, cnt long")
+    found = clusters.kmeans(points, 500, 5, 2, start, cut_steps=False)
+    plan = found.centroids._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "hashpartitioning(cid" in plan
+    assert found.centroids.agg({"cnt": "sum"}).first()[0] == 500
