@@ -33,8 +33,8 @@ SIBLINGS = {"li", "dd", "dt", "option", "tr", "td", "th"}
 SCOPES = {"ul", "ol", "dl", "table", "select", "menu"}
 #: Words in class, id and role names of page parts that are not the article.
 PARTS = {"ad", "ads", "adbox", "adsense", "advert", "advertisement", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "discussion", "disqus", "donate", "footer", "gdpr", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "toolbar", "topbar", "trending", "widget", "widgets"}
-#: Of these, words that sections of an article's own text may have, and words that make an article element itself a part.
-AMBIGUOUS = {"alert", "discussion", "notice", "recommended", "related", "responses", "search", "social", "trending"}
+#: Of these, words that the id of a section of an article's own text may have, and words that make an article element itself a part.
+AMBIGUOUS = {"discussion", "related", "responses", "search", "social"}
 FOREIGN = {"ad", "advert", "advertisement", "comment", "promo", "recommended", "related", "reply", "sponsored", "teaser"}
 #: An open p ends where one of these begins.
 ENDS_P = BLOCK - {"html", "body", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
@@ -207,7 +207,9 @@ class _Blocks(HTMLParser):
         named = words & (FOREIGN if tag == "article" else PARTS)
         if not named and not ("header" in words and not self._in_article()):
             return 0
-        self.parts_found.append(Part(self.getpos(), self.open_parts[-1] if self.open_parts else 0, bool(named) and named <= AMBIGUOUS and tag != "article" and self._in_article()))
+        by_class = {w.lower() for w in _NAME.findall(f"{given.get('class') or ''} {given.get('role') or ''}")} & PARTS
+        own_section = tag == "section" and bool(named) and not by_class and named <= AMBIGUOUS and self._in_article()
+        self.parts_found.append(Part(self.getpos(), self.open_parts[-1] if self.open_parts else 0, own_section))
         return 2
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:

@@ -145,7 +145,7 @@ def test_html_leaves_out_what_readers_and_teasers_add():
 
 def test_html_keeps_sections_whose_names_look_like_parts():
     a = "first long part " * 40
-    page = f"<body><article><h2 id=related-work>Related work</h2><p>{a}</p><section id=discussion><h2 id=discussion-1>Discussion</h2><p>{a}</p></section><div class=related><a href=/x>Another story about it</a></div></article></body>"
+    page = f"<body><article><h2 id=related-work>Related work</h2><p>{a}</p><section id=discussion><h2 id=discussion-1>Discussion</h2><p>{a}</p></section><div class=related><a href=/x>Another story about it</a></div><div class=notice><p>Please note that this page is old.</p></div><section class=related id=related><p>More of the same.</p></section></article></body>"
     assert html_text.main_text(page) == f"Related work\n{a.strip()}\nDiscussion\n{a.strip()}"
 
 
