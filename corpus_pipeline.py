@@ -50,9 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after another over written tables, of which only the last stage's input is left."""
+    """The stages, one after another over written tables, of which only the last stage's input is left.
+
+    The last stage runs outside of the scratch, as its result still reads the tables that it keeps.
+    """
     docs = table(spark, sf_dir, "documents")
     with scratch(spark) as here:
         for name, stage in STAGES[:-1]:
             docs = written(stage(spark, docs, sf_dir), name)
-        return STAGES[-1][1](spark, here.keep(docs), sf_dir)
+        here.keep(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)

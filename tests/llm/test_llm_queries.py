@@ -89,3 +89,10 @@ def test_pipeline(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
     out = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert 0 < len(out) and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+
+
+def test_pipeline_result_outlives_its_inner_tables(spark, sf_dir):
+    """What the last stage keeps is still there when the result is read, twice."""
+    out = corpus_pipeline.run(spark, sf_dir)
+    first = collections.Counter((r.doc_id, r.n_tokens, r.ids) for r in out.collect())
+    assert first and first == collections.Counter((r.doc_id, r.n_tokens, r.ids) for r in out.collect())
