@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeplane.operators.ordering import positions
-from lodeplane.plans.storage import all_pairs, cut
+from lodeplane.plans.storage import BROADCAST_ROWS, cut
 from lodeplane.settings import check_centroids
 
-#: Centroids up to which a row compares itself with an array of all; more are joined in blocks.
+#: Centroids up to which a row compares itself with an array of all; more are put in boxes.
 ARRAY_CENTROIDS = 512
 
 
@@ -39,15 +39,55 @@ def assign(points: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
 
 
 def placed(points: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
-    """(id, x, y, mass, cid): the points with their nearest centroid. Up to ARRAY_CENTROIDS centroids, one pass without a shuffle."""
+    """(id, x, y, mass, cid): the points with their nearest centroid, without a shuffle.
+
+    Up to ARRAY_CENTROIDS centroids a point compares itself with an array of all. More are dealt into boxes of about the
+    square root of their number, by strips of x and then by y; a point passes over boxes that lie farther than the nearest
+    centroid so far. Of more than BROADCAST_ROWS centroids, a pass takes a share of at most so many.
+    """
     here = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("mass").alias("pm"))
+    point = ["id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pm").alias("mass")]
     if k <= ARRAY_CENTROIDS:
         every = centroids.agg(F.collect_list(F.struct("cid", "x", "y")).alias("cs"))  # k entries, at most ARRAY_CENTROIDS
-        best = F.array_min(F.transform("cs", lambda c: F.struct(((F.col("px") - c["x"]) * (F.col("px") - c["x"]) + (F.col("py") - c["y"]) * (F.col("py") - c["y"])).alias("d"), c["cid"].alias("cid"))))
-        return here.crossJoin(F.broadcast(every)).select("id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pm").alias("mass"), best["cid"].alias("cid"))
-    d = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
-    best = F.min(F.struct(d.alias("d"), "cid", "px", "py", "pm")).alias("b")
-    return all_pairs(here, centroids.select("cid", "x", "y")).groupBy("id").agg(best).select("id", F.col("b.px").alias("x"), F.col("b.py").alias("y"), F.col("b.pm").alias("mass"), F.col("b.cid").alias("cid"))
+        return here.crossJoin(F.broadcast(every)).select(*point, _nearest(F.col("cs"))["cid"].alias("cid"))
+    shares = -(-k // BROADCAST_ROWS)
+    best = here.withColumn("best", F.lit(None).cast("struct<d: double, cid: int>"))
+    for n in range(shares):
+        some = centroids if shares == 1 else centroids.where(F.pmod("cid", F.lit(shares)) == n)
+        near = best.crossJoin(F.broadcast(_boxes(some, -(-k // shares)))).withColumn("best", _nearest_of_boxes(F.col("boxes"), F.col("best"))).drop("boxes")
+        best = near if n == shares - 1 else cut(near)
+    return best.select(*point, F.col("best.cid").alias("cid"))
+
+
+def _nearest(cs: Column) -> Column:
+    """(d, cid) of the nearest of an array of centroids to (px, py), the lowest cid among equals."""
+    return F.array_min(F.transform(cs, lambda c: F.struct(((F.col("px") - c["x"]) * (F.col("px") - c["x"]) + (F.col("py") - c["y"]) * (F.col("py") - c["y"])).alias("d"), c["cid"].alias("cid"))))
+
+
+def _boxes(centroids: DataFrame, k: int) -> DataFrame:
+    """One row with an array boxes(x0, x1, y0, y1, cs) of at most BROADCAST_ROWS centroids. A missing coordinate makes its side NaN."""
+    strips = max(1, round(k**0.25))
+    dealt = centroids.select("cid", "x", "y").withColumn("_strip", F.ntile(strips).over(Window.orderBy("x", "cid")))
+    dealt = dealt.withColumn("_box", F.ntile(strips).over(Window.partitionBy("_strip").orderBy("y", "cid")))
+    sides = [f(F.coalesce(c, F.lit(float("nan")))).alias(c + n) for c in ("x", "y") for f, n in ((F.min, "0"), (F.max, "1"))]
+    boxes = dealt.groupBy("_strip", "_box").agg(*sides, F.collect_list(F.struct("cid", "x", "y")).alias("cs"))
+    return boxes.agg(F.collect_list(F.struct("x0", "x1", "y0", "y1", "cs")).alias("boxes"))
+
+
+def _nearest_of_boxes(boxes: Column, best: Column) -> Column:
+    """The least of `best` and _nearest() of the centroids in all boxes, which are taken by their distance.
+
+    A box is passed over if its distance is greater than the least so far: it is worked out by the same operations as a
+    centroid's, each of which is monotonic, so rounding loses no centroid. One that is no number passes over nothing.
+    """
+    zero = F.lit(0.0)
+
+    def far(b: Column) -> Column:
+        x, y = (F.greatest(b[c + "0"] - F.col("p" + c), F.col("p" + c) - b[c + "1"], zero) for c in ("x", "y"))
+        return F.nanvl(x * x + y * y, zero)
+
+    order = F.array_sort(F.transform(boxes, lambda b, i: F.struct(far(b).alias("far"), i.alias("i"))))
+    return F.aggregate(order, best, lambda s, n: F.when(s.isNotNull() & (n["far"] > s["d"]), s).otherwise(F.least(s, _nearest(F.get(boxes, n["i"])["cs"]))))
 
 
 def update(points: DataFrame, assigned: DataFrame, centroids: DataFrame) -> DataFrame:

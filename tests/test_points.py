@@ -7,6 +7,7 @@ import pytest
 
 from lodeplane.api import ArgSort, Boundaries, GridPyramid, GroupedKMeans, KMeans
 from lodeplane.functions import grid_side, next_pow2
+from lodeplane.operators import clusters
 from lodeplane.operators import points as P
 from lodeplane.settings import QuadTree, default_depth
 
@@ -160,3 +161,18 @@ def test_grouped(spark):
     with pytest.raises(RuntimeError):
         GroupedKMeans(3).debug_view("sorted")
     assert GroupedKMeans(0).count is None
+
+
+def test_many_centroids_against_plain_python_without_a_shuffle(spark, monkeypatch):
+    r = random.Random(9)
+    pts = [(i, round(r.uniform(-5, 5), 1), round(r.uniform(-5, 5), 1), 1.0) for i in range(300)] + [(300, float("nan"), 1.0, 1.0), (301, 900.0, -900.0, 1.0)]
+    cs = [(k, round(r.uniform(-5, 5), 1), round(r.uniform(-5, 5), 1)) for k in range(600)]
+    points, centroids = spark.createDataFrame(pts, "id long, x double, y double, mass double"), spark.createDataFrame(cs, "cid int, x double, y double")
+    got = clusters.assign(points, centroids, 600)
+    want = {i: min(((x - a) * (x - a) + (y - b) * (y - b), c) for c, a, b in cs)[1] if x == x else 0 for i, x, y, _ in pts}
+    assert {r.id: r.cid for r in got.collect()} == want
+    # no plan of pairs that are sorted by point: that took disk for all of them
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan
+    monkeypatch.setattr(clusters, "BROADCAST_ROWS", 250)
+    assert {r.id: r.cid for r in clusters.assign(points, centroids, 600).collect()} == want
