@@ -7,7 +7,7 @@ import pytest
 
 from lodeplane.api import ArgSort, Boundaries, GridPyramid, GroupedKMeans, KMeans
 from lodeplane.functions import grid_side, next_pow2
-from lodeplane.operators import clusters
+from lodeplane.operators import clusters, diagnostics
 from lodeplane.operators import points as P
 from lodeplane.settings import QuadTree, default_depth
 
@@ -176,3 +176,20 @@ def test_many_centroids_against_plain_python_without_a_shuffle(spark, monkeypatc
     assert "hashpartitioning(id" not in plan
     monkeypatch.setattr(clusters, "BROADCAST_ROWS", 250)
     assert {r.id: r.cid for r in clusters.assign(points, centroids, 600).collect()} == want
+
+
+def test_nearest_by_cells_against_plain_python(spark, monkeypatch):
+    """Even points, a crowd, far ones, points of one place; and coordinates that are no finite numbers."""
+    r = random.Random(5)
+    pts = [(r.uniform(-1, 1), r.uniform(-1, 1)) for _ in range(100)] + [(3 + r.uniform(-1, 1) / 100, 5 + r.uniform(-1, 1) / 100) for _ in range(100)] + [(30.0, 30.0), (30.0, 31.0)] + [(7.0, 7.0)] * 3
+    want = {i: min(math.sqrt((x - a) * (x - a) + (y - b) * (y - b)) for j, (a, b) in enumerate(pts) if i != j) for i, (x, y) in enumerate(pts)}
+    odd = [(900, float("nan"), 0.0), (901, float("inf"), 0.0), (902, None, 0.0)]
+    seen = []
+    monkeypatch.setattr(diagnostics, "ALL_PAIRS", 10)
+    monkeypatch.setattr(diagnostics, "all_pairs", lambda left, right, f=diagnostics.all_pairs: seen.append(left.count()) or f(left, right))
+    got = diagnostics.nearest_distances(spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)] + odd, "id long, x double, y double"))
+    got = {r.id: r.nearest for r in got.collect()}
+    # pairs of all points are never made: only of those outside of the cells
+    assert seen and max(seen) <= 2
+    assert math.isnan(got.pop(900)) and got.pop(901) == got.pop(902) == math.inf
+    assert got == want
