@@ -239,19 +239,31 @@ def remaining(left: DataFrame, root: DataFrame, content: DataFrame, s: Settings)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of links (a, b): the least node that each reaches, by passing on least neighbours and jumping to their roots.
+    """(node, root) of links (a, b): the least node that each reaches, by contraction.
 
+    Each node points to its least neighbour, if that is less; pointers are followed to the ends of their trees; links then join
+    the trees' ends, each once, and those inside a tree are gone. So a round reads only the links that the last one left.
     Each step is a written table, so a lost executor costs that step alone and no component meets in one task.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    root = written(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("node"), F.least("a", "r").alias("root")), "roots")
+    link = written(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    root = None
     while True:
-        seen = both.join(root, both.b == root.node).groupBy("a").agg(F.min("root").alias("r"))
-        stepped = root.join(seen, root.node == seen.a).select("node", "root", F.least("root", "r").alias("next"))
-        up = root.select(F.col("node").alias("via"), F.col("root").alias("beyond"))
-        stepped = written(stepped.join(up, F.col("next") == F.col("via")).select("node", "root", F.least("next", "beyond").alias("next")), "roots")
-        root = stepped.select("node", F.col("next").alias("root"))
-        if not stepped.where("root != next").limit(1).count():
+        both = link.select("a", "b").union(link.select("b", "a"))
+        end = written(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("node"), F.least("a", "r").alias("root")), "roots")
+        while True:
+            beyond = end.select(F.col("node").alias("via"), F.col("root").alias("next"))
+            stepped = written(end.join(beyond, F.col("root") == F.col("via")).select("node", "root", "next"), "roots")
+            end = stepped.select("node", F.col("next").alias("root"))
+            if not stepped.where("root != next").limit(1).count():
+                break
+        if root is None:
+            root = end
+        else:
+            further = end.select(F.col("node").alias("via"), F.col("root").alias("next"))
+            root = written(root.join(further, F.col("root") == F.col("via"), "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        left = link.join(end.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(end.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        link = written(left.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        if not link.limit(1).count():
             return root
 
 

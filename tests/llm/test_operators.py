@@ -687,3 +687,28 @@ def test_bit_map_marks_all(spark):
     assert all(media.flagged(bits, bytes(r.k), 1 << 16) for r in keys.where("length(k) < 4").collect())
     assert sum(media.flagged(bits, bytes(r.k), 1 << 16) for r in keys.where("length(k) >= 4").collect()) < 100
     assert public_tokenizers.PATTERN
+
+
+def test_components_read_fewer_links_each_round(spark, monkeypatch):
+    """Roots against plain Python on a path, a star and random links; links inside a tree are not read again."""
+    r = random.Random(4)
+    pairs = [(k, k + 1) for k in range(100, 140)] + [(999, k) for k in range(200, 260)] + [(r.randrange(300, 700), r.randrange(300, 700)) for _ in range(300)]
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    sizes = []
+    write = near_dedup.written
+
+    def counted(df, what, *codec):
+        out = write(df, what, *codec)
+        sizes.extend([out.count()] if what == "links" else [])
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    got = near_dedup.components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {x.node: x.root for x in got.collect()} == {n: m for n, m in root.items() if any(n in p and p[0] != p[1] for p in pairs)}
+    assert sizes[-1] == 0 and sizes[1] < sizes[0] / 2 and sizes == sorted(sizes, reverse=True)
