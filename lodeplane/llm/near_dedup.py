@@ -43,6 +43,8 @@ class Settings:
     rounds: int = 3
     #: Members of a block in which pairs are tested.
     block: int = 200
+    #: Links, whatever the input, that one task joins to components: some 40 MB at most; more are contracted before.
+    few: int = 100_000
     map_bits: int = 1 << 23
 
 
@@ -238,19 +240,43 @@ def remaining(left: DataFrame, root: DataFrame, content: DataFrame, s: Settings)
     return sent.mapInArrow(tested, "a binary, b binary").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least node that each reaches over all links (a, b) of a task."""
+    root, kind = {}, pa.null()
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = top(root.setdefault(a, a)), top(root.setdefault(b, b))
+            root[max(x, y)] = min(x, y)
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array([*root], kind), pa.array([top(x) for x in root], kind)], names=["node", "root"])
+
+
+def components(links: DataFrame, few: int = 0) -> DataFrame:
     """(node, root) of links (a, b): the least node that each reaches, by contraction.
 
     Each node points to its least neighbour, if that is less; pointers are followed to the ends of their trees; links then join
     the trees' ends, each once, and those inside a tree are gone. So a round reads only the links that the last one left.
-    Each step is a written table, so a lost executor costs that step alone and no component meets in one task.
+    Each step is a written table, so a lost executor costs that step alone and no component meets in one task. What is left
+    when `few` links or fewer are is joined in one task: rounds over so little are nothing but jobs, which the driver keeps.
     """
     link = written(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     root = None
     while True:
-        both = link.select("a", "b").union(link.select("b", "a"))
-        end = written(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("node"), F.least("a", "r").alias("root")), "roots")
-        while True:
+        last = bool(few) and link.count() <= few
+        if last:
+            kind = link.schema["a"].dataType.simpleString()
+            end = written(link.coalesce(1).mapInArrow(joined, f"node {kind}, root {kind}"), "roots")
+        else:
+            both = link.select("a", "b").union(link.select("b", "a"))
+            end = written(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("node"), F.least("a", "r").alias("root")), "roots")
+        while not last:
             beyond = end.select(F.col("node").alias("via"), F.col("root").alias("next"))
             stepped = written(end.join(beyond, F.col("root") == F.col("via")).select("node", "root", "next"), "roots")
             end = stepped.select("node", F.col("next").alias("root"))
@@ -261,6 +287,8 @@ def components(links: DataFrame) -> DataFrame:
         else:
             further = end.select(F.col("node").alias("via"), F.col("root").alias("next"))
             root = written(root.join(further, F.col("root") == F.col("via"), "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        if last:
+            return root
         left = link.join(end.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(end.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
         link = written(left.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
         if not link.limit(1).count():
@@ -352,9 +380,9 @@ def _linked(df: DataFrame, rows: DataFrame, text_col: str, s: Settings) -> DataF
     for t in tested[1:]:
         links = links.unionByName(t)
     links = links.where("alike > 0").select("a", "b")
-    root = components(links)
+    root = components(links, s.few)
     more = written(remaining(members, root, content, s), "links")
-    return components(links.unionByName(more)) if more.limit(1).count() else root
+    return components(links.unionByName(more), s.few) if more.limit(1).count() else root
 
 
 def _placed(rows: DataFrame, root: DataFrame, id_col: str, here) -> DataFrame:

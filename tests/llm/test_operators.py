@@ -712,3 +712,29 @@ def test_components_read_fewer_links_each_round(spark, monkeypatch):
     got = near_dedup.components(spark.createDataFrame(pairs, "a long, b long"))
     assert {x.node: x.root for x in got.collect()} == {n: m for n, m in root.items() if any(n in p and p[0] != p[1] for p in pairs)}
     assert sizes[-1] == 0 and sizes[1] < sizes[0] / 2 and sizes == sorted(sizes, reverse=True)
+
+
+@pytest.mark.parametrize("few, tables", [(1000, ["links", "roots"]), (60, None)])
+def test_few_links_are_joined_in_one_task(spark, monkeypatch, few, tables):
+    """The classes are those of contraction to the end, whether all links or those of a later round are few."""
+    r = random.Random(8)
+    pairs = [(k, k + 1) for k in range(100, 140)] + [(999, k) for k in range(200, 260)] + [(r.randrange(300, 700), r.randrange(300, 700)) for _ in range(300)]
+    links = spark.createDataFrame([(b"%04d" % a, b"%04d" % b) for a, b in [*pairs, *pairs[:9]]], "a binary, b binary")
+    want = {(bytes(x.node), bytes(x.root)) for x in near_dedup.components(links).collect()}
+    made, write = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, what, *codec: (made.append(what), write(df, what, *codec))[1])
+    got = near_dedup.components(links, few).collect()
+    assert len(got) == len(want) and {(bytes(x.node), bytes(x.root)) for x in got} == want
+    assert tables is None or made == tables
+    assert near_dedup.components(links.limit(0), few).count() == 0
+
+
+def test_near_duplicates_take_few_tables_for_few_links(spark, monkeypatch):
+    """A class of edited copies: its components took a table a step, each as many tasks as there are partitions."""
+    words = prose(77, 100).split()
+    texts = [" ".join([*words[:k], f"edit{k}", *words[k + 1 :]]) for k in range(12)] + [prose(78, 100)]
+    made, write = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, what, *codec: (made.append(what), write(df, what, *codec))[1])
+    rows = near_dedup.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {k: 0 if k < 12 else 12 for k in range(13)}
+    assert made.count("roots") == 1
