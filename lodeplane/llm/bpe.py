@@ -3,8 +3,8 @@
 Texts are cut into words by the vocabulary's pattern. A word's bytes are an array of ids; a fold merges, step by step, the
 leftmost pair of the lowest rank, with ranks in a literal hash table. Every distinct word of all texts that is no token
 itself is folded once. For that, texts are dealt into chunks of a bounded size, each with a dictionary of its own words: a
-text becomes places in its chunk's dictionary, the dictionaries' words meet and are folded, and their ids go back to the
-chunks by joins. Only words longer than any prose has are merged where they stand, by a heap over the same ranks, as a
+text becomes places in its chunk's dictionary, the dictionaries' words meet with their places and are folded, and their ids
+go back to the chunks, whose texts lie in buckets and are not shuffled. Only words longer than any prose has are merged where they stand, by a heap over the same ranks, as a
 fold's time grows with the square of a word's length. Decoding concatenates the binary pieces of the ids, from a literal
 array.
 
@@ -16,18 +16,18 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeplane.llm.common import even_join, modest_batches, scratch, written
+from lodeplane.llm.common import modest_batches, scratch, setting, written
 
 # Fixed value: the code points that the pattern's \s stands for (Unicode's White_Space).
 WHITE = "\\t\\n\\u000b\\f\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -303,50 +303,38 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), batch.column("_id"), pa.array(packs, pa.binary())], names=names)
         yield from entries()
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts from their places. Rows come by chunk, its dictionary first and in order."""
-        chunk, table = None, []
-        for batch in batches:
-            keep, out = [], []
-            for k, (p, i, ids, pack) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("p", "i", "ids", "pack")), strict=True)):
-                if p != chunk:
-                    chunk, table = p, []
-                if i is not None:
-                    if i != len(table):
-                        raise ValueError(f"chunk {p} has no word {len(table)}")
-                    table.append(ids)
-                else:
-                    keep.append(k)
-                    out.append(",".join(map(table.__getitem__, places(pack))))
-            n = [x.count(",") + (x != "") for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(keep, pa.int32())), pa.array(out, pa.string()), pa.array(n, pa.int64())], names=["_id", "ids", "n_tokens"])
+    def put(texts: pa.Table, found: pa.Table) -> pa.Table:
+        """A chunk's texts from their places; its dictionary are the words with ids among its own rows, and those found."""
+        own, packed = texts.filter(pc.is_valid(texts["i"])), texts.filter(pc.is_null(texts["i"]))
+        table: list[str | None] = [None] * (own.num_rows + found.num_rows)
+        for some in (own, found):
+            for i, ids in zip(some["i"].to_pylist(), some["ids"].to_pylist(), strict=True):
+                table[i] = ids
+        if None in table:
+            raise ValueError(f"a chunk has no word {table.index(None)}")
+        out = [",".join(map(table.__getitem__, places(x))) for x in packed["pack"].to_pylist()]
+        n = [x.count(",") + (x != "") for x in out]
+        return pa.table([packed["_id"], pa.array(out, pa.string()), pa.array(n, pa.int64())], names=["_id", "ids", "n_tokens"])
 
     with scratch(spark) as here:
-        made = here.keep(written(rows.mapInArrow(cut, f"p long, i int, w string, ids string, _id {id_type}, pack binary"), "cut"))
-        entry = made.where("i is not null").select("p", "i", "w", "ids")
         tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        words = written(entry.where("w is not null").select("w").repartition(tasks, "w").groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
+        # by chunk, so that the texts, which are most of all bytes, are written once and never shuffled
+        made = here.keep(written(rows.mapInArrow(cut, f"p long, i int, w string, ids string, _id {id_type}, pack binary"), "cut", buckets=(tasks, "p")))
+        # a word has a place in each chunk at most
+        words = made.where("w is not null").select("w", F.struct("p", "i").alias("at")).repartition(tasks, "w").groupBy("w").agg(F.collect_list("at").alias("at"))
+        with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            words = written(words, "words")
         # from a written table the plan has no exchange: its text, which holds the rank table, is then kept once
         with short_plan_texts(spark):
-            folded = here.keep(written(words.select("w", "c", lit.encode_word(F.col("w")).alias("ids")), "folded"))
-        found = even_join(entry.where("w is not null").select("p", "i", "w"), folded, ["w"], "c").select("p", "i", "ids")
-        found = found.unionByName(entry.where("w is null").select("p", "i", "ids"))
-        found = found.select("p", "i", "ids", F.lit(None).cast(id_type).alias("_id"), F.lit(None).cast("binary").alias("pack"))
-        texts = made.where("i is null").select("p", "i", "ids", "_id", "pack")
-        met = found.unionByName(texts).repartition("p").sortWithinPartitions("p", F.col("i").asc_nulls_last())
-        return met.mapInArrow(put, f"_id {id_type}, ids string, n_tokens long").withColumnRenamed("_id", id_col)
+            folded = here.keep(written(words.select("at", lit.encode_word(F.col("w")).alias("ids")), "folded"))
+        found = folded.select(F.explode("at").alias("at"), "ids").select("at.p", "at.i", "ids")
+        met = made.where("w is null").groupBy("p").cogroup(found.groupBy("p")).applyInArrow(put, f"_id {id_type}, ids string, n_tokens long")
+        return met.withColumnRenamed("_id", id_col)
 
 
-@contextmanager
-def short_plan_texts(spark) -> Iterator[None]:
+def short_plan_texts(spark):
     """For an action whose plan has large literals: Spark keeps the texts of a thousand plans in the driver's memory."""
-    key = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "65536")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return setting(spark, "spark.sql.maxPlanStringLength", "65536")
 
 
 def digest_columns(vocabulary: Vocabulary) -> dict[str, Column]:

@@ -79,18 +79,42 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
             outer[-1].paths.extend(here.kept)
 
 
-def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read again by its known schema."""
+def written(df: DataFrame, what: str, codec: str = "zstd", buckets: tuple[int, str] | None = None) -> DataFrame:
+    """Cuts lineage: df as a Parquet table in the shared folder, read again by its known schema.
+
+    buckets: so many, by this column; what needs that column's rows together then reads them without a shuffle. Spark keeps
+    buckets of tables only, so the catalog holds it until it has been looked up.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeplane-{what}-{uuid.uuid4().hex}"
+    name = f"lodeplane-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     if _open.get():
         _open.get()[-1].paths.append(path)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    if buckets:
+        df.write.bucketBy(*buckets).option("path", path).option("compression", codec).saveAsTable(name.replace("-", "_"), format="parquet")
+        out = spark.table(name.replace("-", "_"))
+        spark.sql(f"DROP TABLE {name.replace('-', '_')}")  # of a table with a path, its files stay
+    else:
+        df.write.option("compression", codec).parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     out._lodeplane_path = path
     return out
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the actions inside, and what it was before after them."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 #: A key is hot where it holds more than one part in HOT of all rows, and more than HOT rows.
 HOT = 1000
 

@@ -237,6 +237,17 @@ def test_bpe_of_small_chunks(spark, odd, words, library):
     assert got == collections.Counter((r.doc_id, ",".join(map(str, ids(r.text))), len(ids(r.text))) for r in docs.collect())
 
 
+def test_bpe_shuffles_no_texts(spark, words, library):
+    """Between the written table of texts and what puts them together there is no exchange; words alone are dealt out."""
+    docs = spark.createDataFrame([(k, prose(k, 30)) for k in range(40)], "doc_id long, text string").repartition(3)
+    out = bpe.encode(docs, words, settings=bpe.Settings(chunk=500))
+    assert {r.doc_id: r.ids for r in out.collect()} == {r.doc_id: ",".join(map(str, library.encode_ordinary(r.text))) for r in docs.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(p#") > 0
+    assert plan.split("== Initial Plan ==")[0].count("Exchange ") == 1
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lodeplane")]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_places_come_back(at):
