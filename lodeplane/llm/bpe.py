@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 Texts are cut into words by the vocabulary's pattern. A word's bytes are an array of ids; a fold merges, step by step, the
-leftmost pair of the lowest rank, with ranks in a literal hash table. Every distinct word of all texts that is no token
-itself is folded once. For that, texts are dealt into chunks of a bounded size, each with a dictionary of its own words: a
-text becomes places in its chunk's dictionary, the dictionaries' words meet with their places and are folded, and their ids
-go back to the chunks, whose texts lie in buckets and are not shuffled. Only words longer than any prose has are merged where they stand, by a heap over the same ranks, as a
-fold's time grows with the square of a word's length. Decoding concatenates the binary pieces of the ids, from a literal
-array.
+leftmost pair of the lowest rank, with ranks in a literal table. Every distinct word of all texts that is no token itself is
+folded once. For that, texts are dealt into chunks of a bounded size, each with a dictionary of its own words: a text becomes
+places in its chunk's dictionary, and the dictionary's words go, packed, one pack a share, to shares of all words by their
+hash. A share's task folds its distinct words once and answers each pack with a pack of ids, in the order of its words, which
+goes back to the chunk, whose texts lie in buckets and are not shuffled. So no word is a row of a shuffle. Only words longer
+than any prose has are merged where they stand, by a heap over the same ranks, as a fold's time grows with the square of a
+word's length. Decoding concatenates the binary pieces of the ids, from a literal array.
 
 Ranks are read on the driver from a file given by path, and travel in the plan as literals of fixed size.
 """
@@ -15,8 +16,12 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+import re
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,8 @@ from lodeplane.llm.common import modest_batches, scratch, setting, written
 WHITE = "\\t\\n\\u000b\\f\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: More than any rank.
 NONE = 1 << 30
+#: Bits of an id in the fold, and of an id with its place in the word, which has at most 1,024 bytes.
+ID, LOW = 17, 28
 
 
 @dataclass(frozen=True)
@@ -118,14 +125,16 @@ class Literals:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         ranks = vocabulary.ranks
-        pairs = {}
+        pairs = defaultdict(dict)
         for t, r in ranks.items():
             for k in range(1, len(t)):
                 a, b = ranks.get(t[:k]), ranks.get(t[k:])
                 if a is not None and b is not None:
-                    pairs[(a, b)] = r
-        self.bits = max(10, (2 * len(pairs)).bit_length() - 1)
-        self.one, self.two = map(self._longs, self._cuckoo(pairs))
+                    pairs[a][b] = r
+        self.edge = max(ranks.values()) + 1  # an id that no pair has
+        if self.edge >= 1 << 16:
+            raise ValueError("ids over 65,534 don't fit the fold's numbers")
+        self.starts, self.table = map(self._longs, self._laid(pairs))
         self.bytes = self._longs([ranks.get(bytes([x]), NONE) for x in range(256)])
         # Words that are a token although their merges end elsewhere: the token is meant.
         self.whole = {}
@@ -140,63 +149,66 @@ class Literals:
     def _longs(values: list[int]) -> Column:
         return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    def _slots(self, a, b):
-        mask = (1 << self.bits) - 1
-        return (a * 40503 + b) & mask, (a + b * 48271) & mask
-
-    def _cuckoo(self, pairs: dict) -> tuple[list[int], list[int]]:
-        """Every pair in one of its two slots, as (first << 33 | second << 17 | merged)."""
-        tables = np.full((2, 1 << self.bits), -1, np.int64)
-        for (a, b), r in pairs.items():
-            entry, side = (a << 33) | (b << 17) | r, 0
-            for _ in range(500):
-                at = self._slots(entry >> 33, (entry >> 17) & 0xFFFF)[side]
-                entry, tables[side, at] = int(tables[side, at]), entry
-                if entry < 0:
+    def _laid(self, pairs: dict[int, dict[int, int]]) -> tuple[list[int], list[int]]:
+        """Where the row of each first id starts, and all rows laid over each other: (first << ID | merged) at start + second."""
+        n, draw = self.edge + 1, np.random.default_rng(0)
+        size = 2 * sum(map(len, pairs.values())) + n
+        free, starts = np.ones(size + n, bool), np.zeros(n, np.int64)
+        for a in sorted(pairs, key=lambda a: (-len(pairs[a]), a)):
+            seconds = np.array(sorted(pairs[a]))
+            for tries in range(50):
+                at = np.arange(size) if len(seconds) > 32 or tries > 20 else draw.integers(size, size=64)
+                for x in seconds:
+                    at = at[free[at + x]]
+                if len(at):
                     break
-                side = 1 - side
             else:
                 raise ValueError("the rank table doesn't take all pairs")
-        return tables[0].tolist(), tables[1].tolist()
-
-    def rank(self, key: Column, one: Column, two: Column) -> Column:
-        """Id of the merged pair (first << 16 | second), which is its rank, or NONE. key: a lambda variable."""
-        mask = F.lit((1 << self.bits) - 1).cast("bigint")
-        first, second = F.shiftright(key, 16), key.bitwiseAND(F.lit(65535).cast("bigint"))
-        x = F.get(one, (first * 40503 + second).bitwiseAND(mask))
-        y = F.get(two, (first + second * 48271).bitwiseAND(mask))
-        low = F.lit(131071).cast("bigint")
-        return F.when(F.shiftright(x, 17) == key, x.bitwiseAND(low)).when(F.shiftright(y, 17) == key, y.bitwiseAND(low)).otherwise(F.lit(NONE).cast("bigint"))
+            starts[a] = at[0]
+            free[at[0] + seconds] = False
+        table = np.full(int(starts.max()) + n, n << ID, np.int64)
+        for a, row in pairs.items():
+            table[starts[a] + np.array([*row])] = (a << ID) | np.array([*row.values()])
+        return starts.tolist(), table.tolist()
 
     def fold(self, word: Column) -> Column:
         """Ids of a word as decimals joined by commas: the fold of ranked merges over its bytes."""
-        return let(F.struct(self.one.alias("one"), self.two.alias("two")), lambda t: self._fold(word, lambda key: self.rank(key, t["one"], t["two"])))
+        return let(self.starts, lambda starts: let(self.table, lambda table: self._fold(word, starts, table)))
+
+    def _fold(self, word: Column, starts: Column, table: Column) -> Column:
+        """The state is one array with, of each part of the word, (rank of its pair with the next part << LOW | place << ID | id).
 
-    def _fold(self, word: Column, rank) -> Column:
-        none, one, empty = F.lit(NONE).cast("bigint"), F.lit(1), F.expr("cast(array() as array<bigint>)")
+        So the least element is the leftmost pair of the lowest rank, and its rank is the merged id. An edge on either side
+        has a part's neighbours exist. Expressions within lambdas are interpreted: their number is the fold's time.
+        """
+        one, two, far = F.lit(1), F.lit(2), F.lit(NONE)
+        none, id_bits, low_bits, place_bits = (F.lit(x).cast("bigint") for x in (1 << (ID + LOW), (1 << ID) - 1, (1 << LOW) - 1, (1 << LOW) - (1 << ID)))
 
-        def state(ids: Column, ranks: Column) -> Column:
-            return F.struct(ids.alias("ids"), ranks.alias("ranks"), F.coalesce(F.array_min(ranks), none).alias("low"))
+        def rank(a: Column, b: Column) -> Column:
+            # an entry of another first id leaves more than any rank
+            return F.get(table, F.get(starts, a) + b).bitwiseXOR(F.shiftleft(a, ID))
 
-        def step(s: Column, _: Column) -> Column:
-            def at(p: Column) -> Column:
-                # p: place of the pair, from 1; only the ranks of the two pairs beside it change
-                ids, ranks, low, n = s["ids"], s["ranks"], s["low"], F.size(s["ids"])
-                left = F.when(p > 1, F.array(F.shiftleft(F.get(ids, p - 2), 16).bitwiseOR(low))).otherwise(empty)
-                right = F.when(p + 1 < n, F.array(F.shiftleft(low, 16).bitwiseOR(F.get(ids, p + 1)))).otherwise(empty)
-                new = F.transform(F.concat(left, right), rank)
-                made = F.concat(F.slice(ids, one, p - 1), F.array(low), F.slice(ids, p + 2, n))
-                return let(F.concat(F.slice(ranks, one, F.greatest(p - 2, F.lit(0))), new, F.slice(ranks, p + 2, n)), lambda r: state(made, r))
+        def step(parts: Column, _: Column) -> Column:
+            def least(low: Column) -> Column:
+                def at(p: Column) -> Column:
+                    # p: place of the pair, from 2; only the ranks of the two pairs beside it change
+                    merged, before, after = F.shiftright(low, LOW), F.get(parts, p - two), F.get(parts, p + one)
+                    left = F.shiftleft(rank(before.bitwiseAND(id_bits), merged), LOW).bitwiseOR(before.bitwiseAND(low_bits))
+                    made = F.shiftleft(rank(merged, after.bitwiseAND(id_bits)), LOW).bitwiseOR(low.bitwiseAND(place_bits)).bitwiseOR(merged)
+                    return joined(F.slice(parts, one, p - two), F.array(left, made), F.slice(parts, p + two, far))
 
-            return F.when(s["low"] >= none, s).otherwise(let(F.array_position(s["ranks"], s["low"]).cast("int"), at))
+                return F.when(low >= none, parts).otherwise(let(F.array_position(parts, low).cast("int"), at))
+
+            return let(F.array_min(parts), least)
 
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character per byte
-        start = F.transform(F.split(latin, ""), lambda c: F.get(self.bytes, F.ascii(c)))
+        edge = F.lit(self.edge).cast("bigint")
+        start = joined(F.array(edge), F.transform(F.split(latin, ""), lambda c: F.get(self.bytes, F.ascii(c))), F.array(edge))
 
         def run(ids: Column) -> Column:
-            keys = F.zip_with(F.slice(ids, one, F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.shiftleft(a, 16).bitwiseOR(b))
-            merged = F.aggregate(F.sequence(one, F.size(ids)), state(ids, F.transform(keys, rank)), step, lambda s: s["ids"])
-            return F.array_join(merged.cast("array<string>"), ",")
+            first = F.transform(F.slice(ids, one, F.size(ids) - one), lambda a, i: F.shiftleft(rank(a, F.get(ids, i + one)), LOW).bitwiseOR(F.shiftleft(i, ID).cast("bigint")).bitwiseOR(a))
+            last = F.array(F.lit((1 << (ID + LOW + 1)) + self.edge).cast("bigint"))
+            return F.aggregate(ids, joined(first, last), step, lambda parts: F.array_join(F.transform(F.slice(parts, two, F.size(parts) - two), lambda x: x.bitwiseAND(id_bits)).cast("array<string>"), ","))
 
         return let(start, run)
 
@@ -221,6 +233,10 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def joined(*arrays: Column) -> Column:
+    return F.flatten(F.array(*arrays))
+
+
 def merge_by_rule(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merges of a word from its bytes up, as the fold does them, one step after another."""
     parts = [word[k : k + 1] for k in range(len(word))]
@@ -232,25 +248,82 @@ def merge_by_rule(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
-def packed_places(at: list[int]) -> bytes:
+@cache
+def _zip() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(3)
+
+
+@cache
+def _unzip() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def packed_places(at: list[int] | np.ndarray) -> bytes:
     """Places in a dictionary, byte plane by byte plane, so that the mostly empty high bytes cost nothing."""
-    planes = np.array(at, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(planes).tobytes())
+    planes = np.asarray(at, "<u4").view(np.uint8).reshape(-1, 4).T
+    return _zip().compress(np.ascontiguousarray(planes).tobytes())
 
 
 def places(pack: bytes) -> list[int]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(pack), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_unzip().decompress(pack), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").tolist()
 
 
-def numbered(words: list[str], local: dict[str, int]) -> list[int]:
-    """Places of a text's words in its chunk's dictionary, which takes the new ones."""
-    at = [*map(local.get, words)]
-    if None in at:
-        for k, x in enumerate(at):
-            if x is None:
-                at[k] = local.setdefault(words[k], len(local))
-    return at
+def packed_words(words: list[bytes]) -> bytes:
+    """Words of any bytes: how many, their lengths, and all of them in a row."""
+    return _zip().compress(b"".join([len(words).to_bytes(8, "little"), np.fromiter(map(len, words), "<u4", len(words)).tobytes(), *words]))
+
+
+def unpacked_words(pack: bytes) -> pa.LargeStringArray:
+    raw = _unzip().decompress(pack)
+    n = int.from_bytes(raw[:8], "little")
+    ends = np.zeros(n + 1, np.int64)
+    np.cumsum(np.frombuffer(raw, "<u4", n, 8), out=ends[1:])
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(raw[8 + 4 * n :]))
+
+
+def packed_ids(ids: list[str]) -> bytes:
+    return _zip().compress("\n".join(ids).encode())
+
+
+def unpacked_ids(pack: bytes) -> list[str]:
+    return _unzip().decompress(pack).decode().split("\n")
+
+
+@cache
+def _ranges(name: str) -> str:
+    """Code points up to 65,535 with a Unicode property, by the regex library's version, as ranges in a set of a pattern."""
+    had = [ord(c) for c in regex.findall(name, "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000))]
+    starts = [c for c, before in zip(had, [-2, *had]) if c != before + 1]
+    ends = [c for c, after in zip(had, [*had[1:], -2]) if c + 1 != after]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+
+def plain_pattern(pattern: str) -> str | None:
+    """For texts without code points over 65,535: the pattern with sets instead of properties, which re runs faster than regex.
+
+    None where re could read what is left of the pattern in a way of its own.
+    """
+    out, inside = [], False
+    for x in re.split(r"(\\p\{\w+\}|\\.|\[|\])", pattern):
+        if x.startswith("\\p"):
+            out.append(_ranges(x) if inside else f"[{_ranges(x)}]")
+            continue
+        if (len(x) == 2 and x[0] == "\\" and x[1].isalnum() and x[1] not in "tnfru") or re.search(r"\(\?[^!=:]|[.^$*+?}][+]", x):
+            return None
+        inside = (inside or x == "[") and x != "]"
+        out.append(x)
+    return "".join(out)
+
+
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of the pattern in a text."""
+    find, plain = regex.compile(pattern).findall, plain_pattern(pattern)
+    if plain is None:
+        return find
+    quick = re.compile(plain).findall
+    # two bytes for each code point, so that none is over 65,535
+    return lambda t: quick(t) if len(t.encode("utf-16-le", "surrogatepass")) == 2 * len(t) else find(t)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -261,74 +334,121 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
     encoded each; an empty table gives no rows. Other columns are ignored. Letters and digits are those of the regex
     library's Unicode version.
     """
+    if settings.longest > 2000:
+        raise ValueError("the fold numbers the bytes of a word up to 2,000")
     spark = df.sparkSession
     modest_batches(spark)
     lit = Literals(vocabulary)
     ranks = spark.sparkContext.broadcast(vocabulary.ranks)  # of fixed size
     pattern, id_type = vocabulary.java_pattern(), df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # kinds of a chunk's packs besides those of its texts (null) and of its words (the share, from 0)
+    shares, own = -1, -2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text as places in its chunk's dictionary, and the dictionaries: of a word its ids if it is a token or too long, else itself."""
-        find, known = regex.compile(pattern).findall, ranks.value
-        local: dict[str, int] = {}
+        """A chunk's packs: of each text its places in the chunk's dictionary, of each share its words, in the order of their places,
+        of all places their shares, and the ids of the words that are tokens or too long, whose share is `tasks`."""
+        find, known, type_ = finder(pattern), ranks.value, None
+        local: dict[str, int] = defaultdict()
+        local.default_factory = local.__len__  # a new word gets the next place
         chunk, size = TaskContext.get().partitionId() << 32, 0
 
-        def entries() -> Iterator[pa.RecordBatch]:
-            words = [*local]
-            for start in range(0, len(words), 10_000):
-                some = words[start : start + 10_000]
-                w, ids = [], []
-                for x in some:
-                    raw = x.encode()
-                    r = known.get(raw)
-                    ids.append(str(r) if r is not None else ",".join(map(str, merge(raw, known))) if len(raw) > settings.longest else None)
-                    w.append(x if ids[-1] is None else None)
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(range(start, start + n), pa.int32()), pa.array(w, pa.string()), pa.array(ids, pa.string()), pa.nulls(n, type_), pa.nulls(n, pa.binary())], names=names)
-
-        names, type_ = ["p", "i", "w", "ids", "_id", "pack"], None
+        def batch_of(b: pa.Array, ids: pa.Array, packs: list[bytes], at: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), b, ids, pa.array(packs, pa.binary())], names=["p", "b", "_id", "pack"])
+
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            dealt, ids, share = defaultdict(list), [], []
+            for x in local:
+                raw = x.encode()
+                r = known.get(raw)
+                if r is None and len(raw) <= settings.longest:
+                    b = zlib.crc32(raw) % tasks
+                    dealt[b].append(raw)
+                else:
+                    b = tasks
+                    ids.append(str(r) if r is not None else ",".join(map(str, merge(raw, known))))
+                share.append(b)
+            if share:
+                kinds, packs = [*dealt, shares, own], [*map(packed_words, dealt.values()), packed_places(share), packed_ids(ids)]
+                yield batch_of(pa.array(kinds, pa.int32()), pa.nulls(len(kinds), type_), packs, [chunk] * len(kinds))
+            local.clear()
+
         for batch in batches:
             type_ = batch.column("_id").type
             at, packs = [], []
             for t in batch.column("_text").to_pylist():
                 at.append(chunk)
-                packs.append(packed_places(numbered(find(t), local)))
+                words = find(t)
+                packs.append(packed_places(np.fromiter(map(local.__getitem__, words), "<u4", len(words))))
                 size += len(t)
                 if size >= settings.chunk:
-                    yield from entries()
-                    local.clear()
+                    yield from dictionary()
                     chunk, size = chunk + 1, 0
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), batch.column("_id"), pa.array(packs, pa.binary())], names=names)
-        yield from entries()
+            yield batch_of(pa.nulls(len(at), pa.int32()), batch.column("_id"), packs, at)
+        yield from dictionary()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words of each share, numbered, and of each of its packs the numbers of its words."""
+        names = ["b", "i", "w", "p", "at"]
+        shares_: dict[int, tuple[list[int], list[pa.Array]]] = defaultdict(lambda: ([], []))
+        for batch in batches:
+            for p, b, pack in zip(*(batch.column(c).to_pylist() for c in ("p", "b", "pack")), strict=True):
+                shares_[b][0].append(p)
+                shares_[b][1].append(unpacked_words(pack))
+        for b, (chunks, packs) in shares_.items():
+            words = pa.concat_arrays(packs).dictionary_encode()
+            for start in range(0, len(words.dictionary), 10_000):
+                w = words.dictionary[start : start + 10_000].cast(pa.string())
+                n = len(w)
+                yield pa.RecordBatch.from_arrays([pa.array([b] * n, pa.int32()), pa.array(range(start, start + n), pa.int32()), w, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+            numbers, start = words.indices.to_numpy(), 0
+            for p, x in zip(chunks, packs, strict=True):
+                at = packed_places(numbers[start : start + len(x)])
+                start += len(x)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([p], pa.int64()), pa.array([at], pa.binary())], names=names)
+
+    def answer(share: pa.Table) -> pa.Table:
+        """Of each of a share's packs of words the pack of their ids."""
+        asks = pc.is_valid(share["at"])
+        asked, words = share.filter(asks), share.filter(pc.invert(asks))
+        table: list[str | None] = [None] * words.num_rows
+        for i, ids in zip(words["i"].to_pylist(), words["ids"].to_pylist(), strict=True):
+            table[i] = ids
+        packs = [packed_ids([*map(table.__getitem__, places(x))]) for x in asked["at"].to_pylist()]
+        return pa.table([asked["p"], asked["b"], pa.array(packs, pa.binary())], names=["p", "b", "pack"])
 
     def put(texts: pa.Table, found: pa.Table) -> pa.Table:
-        """A chunk's texts from their places; its dictionary are the words with ids among its own rows, and those found."""
-        own, packed = texts.filter(pc.is_valid(texts["i"])), texts.filter(pc.is_null(texts["i"]))
-        table: list[str | None] = [None] * (own.num_rows + found.num_rows)
-        for some in (own, found):
-            for i, ids in zip(some["i"].to_pylist(), some["ids"].to_pylist(), strict=True):
-                table[i] = ids
-        if None in table:
-            raise ValueError(f"a chunk has no word {table.index(None)}")
+        """A chunk's texts from their places; the ids of its dictionary are its own and those found, each share's in the order of places."""
+        packed = texts.filter(pc.is_null(texts["b"]))
+        packs = dict(zip(found["b"].to_pylist(), found["pack"].to_pylist(), strict=True))
+        kinds = {b: x for b, x in zip(texts["b"].to_pylist(), texts["pack"].to_pylist(), strict=True) if b is not None}
+        table: list[str] = []
+        if kinds:
+            packs[tasks] = kinds[own]
+            share = np.array(places(kinds[shares]), np.int64)
+            order, sizes = np.argsort(share, kind="stable"), np.bincount(share, minlength=tasks + 1).tolist()
+            got = [unpacked_ids(packs[b]) if n else [] for b, n in enumerate(sizes)]
+            if [*map(len, got)] != sizes:
+                raise ValueError("a chunk has words without ids")
+            ids = np.empty(len(share), object)
+            ids[order] = [x for some in got for x in some]
+            table = ids.tolist()
         out = [",".join(map(table.__getitem__, places(x))) for x in packed["pack"].to_pylist()]
         n = [x.count(",") + (x != "") for x in out]
         return pa.table([packed["_id"], pa.array(out, pa.string()), pa.array(n, pa.int64())], names=["_id", "ids", "n_tokens"])
 
     with scratch(spark) as here:
-        tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         # by chunk, so that the texts, which are most of all bytes, are written once and never shuffled
-        made = here.keep(written(rows.mapInArrow(cut, f"p long, i int, w string, ids string, _id {id_type}, pack binary"), "cut", buckets=(tasks, "p")))
-        # a word has a place in each chunk at most
-        words = made.where("w is not null").select("w", F.struct("p", "i").alias("at")).repartition(tasks, "w").groupBy("w").agg(F.collect_list("at").alias("at"))
+        made = here.keep(written(rows.mapInArrow(cut, f"p long, b int, _id {id_type}, pack binary"), "cut", buckets=(tasks, "p")))
+        words = made.where("b >= 0").select("p", "b", "pack").repartitionById(tasks, "b").mapInArrow(meet, "b int, i int, w string, p long, at binary")
         with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            words = written(words, "words")
-        # from a written table the plan has no exchange: its text, which holds the rank table, is then kept once
+            words = written(words, "words", buckets=(tasks, "b"))
+        # from buckets the plan has no exchange: its text, which holds the rank table, is then kept once
         with short_plan_texts(spark):
-            folded = here.keep(written(words.select("at", lit.encode_word(F.col("w")).alias("ids")), "folded"))
-        found = folded.select(F.explode("at").alias("at"), "ids").select("at.p", "at.i", "ids")
-        met = made.where("w is null").groupBy("p").cogroup(found.groupBy("p")).applyInArrow(put, f"_id {id_type}, ids string, n_tokens long")
+            folded = words.select("b", "i", "p", "at", F.when(F.col("w").isNotNull(), lit.encode_word(F.col("w"))).alias("ids"))
+            found = here.keep(written(folded.groupBy("b").applyInArrow(answer, "p long, b int, pack binary"), "found"))
+        met = made.where("b is null or b < 0").groupBy("p").cogroup(found.groupBy("p")).applyInArrow(put, f"_id {id_type}, ids string, n_tokens long")
         return met.withColumnRenamed("_id", id_col)
 
 

@@ -248,6 +248,36 @@ def test_bpe_shuffles_no_texts(spark, words, library):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lodeplane")]
 
 
+def test_bpe_deals_packs_not_words(spark, words, library, monkeypatch):
+    """What is written and dealt out has a row for each text and for each pack of words, of which a chunk has one a share; no row a word."""
+    r, rows, real = random.Random(7), {}, bpe.written
+    docs = spark.createDataFrame([(k, " ".join("".join(r.choices("qzxjkvw", k=9)) for _ in range(200))) for k in range(40)], "doc_id long, text string").coalesce(1)
+
+    def seen(df, what, **more):
+        out = real(df, what, **more)
+        rows[what] = out.count()
+        return out
+
+    monkeypatch.setattr(bpe, "written", seen)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, words).collect()}
+    assert got == {r.doc_id: ",".join(map(str, library.encode_ordinary(r.text))) for r in docs.collect()}
+    shares = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert shares < 1000 and rows["cut"] <= 40 + shares + 2 and rows["found"] <= shares
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n'sdt12.,\u00a0\u3000\x1c\x85éß日"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_bpe_cuts_as_the_pattern(text):
+    pattern = vocabulary().java_pattern()
+    assert bpe.plain_pattern(pattern) is not None
+    assert bpe.finder(pattern)(text) == bpe.regex.findall(pattern, text)
+
+
+def test_bpe_other_patterns_are_left_to_regex():
+    for pattern in (r"\w+|\W", r"(?i:'s)|\p{L}+|\P{L}", r"\p{L}++|\P{L}"):
+        assert bpe.plain_pattern(pattern) is None
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_places_come_back(at):
@@ -262,6 +292,13 @@ def test_bpe_fold_equals_heap(spark, words):
         assert r.ids == ",".join(map(str, bpe.merge(r.w.encode(), words.ranks)))
 
 
+def test_bpe_folds_long_and_repetitive_words(spark, words):
+    r, lit = random.Random(3), bpe.Literals(words)
+    some = [" " + "".join(r.choices("aabeénst日", k=r.randrange(1, 40))) for _ in range(400)] + ["a" * n for n in (2, 3, 5, 64, 1024)] + ["=" * 33, "thhasted" * 125]
+    for x in spark.createDataFrame([(w,) for w in some], "w string").select("w", lit.encode_word(bpe.F.col("w")).alias("ids")).collect():
+        assert x.ids == ",".join(map(str, bpe.merge_by_rule(x.w.encode(), words.ranks)))
+
+
 def test_bpe_long_words(words):
     r = random.Random(5)
     for n in (25, 100, 3000):
