@@ -444,8 +444,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
         words = made.where("b >= 0").select("p", "b", "pack").repartitionById(tasks, "b").mapInArrow(meet, "b int, i int, w string, p long, at binary")
         with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
             words = written(words, "words", buckets=(tasks, "b"))
-        # from buckets the plan has no exchange: its text, which holds the rank table, is then kept once
-        with short_plan_texts(spark):
+        # from buckets the plan has no exchange: without an adaptive plan its text, which holds the rank table, is then kept once
+        with short_plan_texts(spark), setting(spark, "spark.sql.adaptive.enabled", "false"):
             folded = words.select("b", "i", "p", "at", F.when(F.col("w").isNotNull(), lit.encode_word(F.col("w"))).alias("ids"))
             found = here.keep(written(folded.groupBy("b").applyInArrow(answer, "p long, b int, pack binary"), "found"))
         met = made.where("b is null or b < 0").groupBy("p").cogroup(found.groupBy("p")).applyInArrow(put, f"_id {id_type}, ids string, n_tokens long")
