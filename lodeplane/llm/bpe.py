@@ -21,7 +21,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeplane.llm.common import modest_batches, scratch, setting, written
+from lodeplane.llm.common import literal_array, modest_batches, scratch, setting, written
 
 # Fixed value: the code points that the pattern's \s stands for (Unicode's White_Space).
 WHITE = "\\t\\n\\u000b\\f\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -117,59 +117,68 @@ def _short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[a:b]] for a, b in zip(cut, cut[1:])]
 
 
+def laid_pairs(pairs: dict[int, dict[int, int]], edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the row of each first id starts, and all rows laid over each other: (first << ID | merged) at start + second."""
+    n, draw = edge + 1, np.random.default_rng(0)
+    size = 2 * sum(map(len, pairs.values())) + n
+    free, starts = np.ones(size + n, bool), np.zeros(n, np.int64)
+    for a in sorted(pairs, key=lambda a: (-len(pairs[a]), a)):
+        seconds = np.array(sorted(pairs[a]))
+        for tries in range(50):
+            at = np.arange(size) if len(seconds) > 32 or tries > 20 else draw.integers(size, size=64)
+            for x in seconds:
+                at = at[free[at + x]]
+            if len(at):
+                break
+        else:
+            raise ValueError("the rank table doesn't take all pairs")
+        starts[a] = at[0]
+        free[at[0] + seconds] = False
+    table = np.full(int(starts.max()) + n, n << ID, np.int64)
+    for a, row in pairs.items():
+        table[starts[a] + np.array([*row])] = (a << ID) | np.array([*row.values()])
+    return starts, table
+
+
+@lru_cache(maxsize=2)
+def rank_tables(entries: tuple[tuple[bytes, int], ...]) -> tuple[np.ndarray, np.ndarray, dict[str, str]]:
+    """starts and table of laid_pairs for a vocabulary's entries, and its words that are a token although their merges end elsewhere.
+
+    These take seconds and some 90 MB to make, so a driver makes them once for a vocabulary; what stays are a few MB.
+    """
+    ranks = dict(entries)
+    pairs = defaultdict(dict)
+    for t, r in ranks.items():
+        for k in range(1, len(t)):
+            a, b = ranks.get(t[:k]), ranks.get(t[k:])
+            if a is not None and b is not None:
+                pairs[a][b] = r
+    whole = {}
+    for t, r in ranks.items():
+        if len(t) > 1 and merge_by_rule(t, ranks) != [r]:
+            try:
+                whole[t.decode()] = str(r)
+            except UnicodeDecodeError:
+                pass
+    return *laid_pairs(pairs, max(ranks.values()) + 1), whole
+
+
 class Literals:
     """The vocabulary's rank table as literal arrays, and the fold that uses it.
 
-    Plans are kept as text by Spark's listeners, so each array stands in a plan once, bound to a lambda variable.
+    Each array stands in a plan once, bound to a lambda variable.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         ranks = vocabulary.ranks
-        pairs = defaultdict(dict)
-        for t, r in ranks.items():
-            for k in range(1, len(t)):
-                a, b = ranks.get(t[:k]), ranks.get(t[k:])
-                if a is not None and b is not None:
-                    pairs[a][b] = r
         self.edge = max(ranks.values()) + 1  # an id that no pair has
         if self.edge >= 1 << 16:
             raise ValueError("ids over 65,534 don't fit the fold's numbers")
-        self.starts, self.table = map(self._longs, self._laid(pairs))
-        self.bytes = self._longs([ranks.get(bytes([x]), NONE) for x in range(256)])
+        starts, table, whole = rank_tables(tuple(ranks.items()))
+        self.starts, self.table = literal_array(starts), literal_array(table)
+        self.bytes = literal_array([ranks.get(bytes([x]), NONE) for x in range(256)])
         # Words that are a token although their merges end elsewhere: the token is meant.
-        self.whole = {}
-        for t, r in ranks.items():
-            if len(t) > 1 and merge_by_rule(t, ranks) != [r]:
-                try:
-                    self.whole[t.decode()] = str(r)
-                except UnicodeDecodeError:
-                    pass
-
-    @staticmethod
-    def _longs(values: list[int]) -> Column:
-        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-    def _laid(self, pairs: dict[int, dict[int, int]]) -> tuple[list[int], list[int]]:
-        """Where the row of each first id starts, and all rows laid over each other: (first << ID | merged) at start + second."""
-        n, draw = self.edge + 1, np.random.default_rng(0)
-        size = 2 * sum(map(len, pairs.values())) + n
-        free, starts = np.ones(size + n, bool), np.zeros(n, np.int64)
-        for a in sorted(pairs, key=lambda a: (-len(pairs[a]), a)):
-            seconds = np.array(sorted(pairs[a]))
-            for tries in range(50):
-                at = np.arange(size) if len(seconds) > 32 or tries > 20 else draw.integers(size, size=64)
-                for x in seconds:
-                    at = at[free[at + x]]
-                if len(at):
-                    break
-            else:
-                raise ValueError("the rank table doesn't take all pairs")
-            starts[a] = at[0]
-            free[at[0] + seconds] = False
-        table = np.full(int(starts.max()) + n, n << ID, np.int64)
-        for a, row in pairs.items():
-            table[starts[a] + np.array([*row])] = (a << ID) | np.array([*row.values()])
-        return starts.tolist(), table.tolist()
+        self.whole = whole
 
     def fold(self, word: Column) -> Column:
         """Ids of a word as decimals joined by commas: the fold of ranked merges over its bytes."""
@@ -224,7 +233,7 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     pieces = [""] * (max(vocabulary.ranks.values()) + 1)
     for t, r in vocabulary.ranks.items():
         pieces[r] = t.hex()
-    table = F.split(F.lit(",".join(pieces)), ",")
+    table = literal_array(pieces)
     return F.unhex(F.when(ids == "", "").otherwise(F.array_join(F.transform(F.split(ids, ",").cast("array<int>"), lambda x: F.get(table, x)), "")))
 
 

@@ -9,9 +9,12 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 from lodeplane.workers import reach
 
@@ -164,6 +167,30 @@ def bit_map(df: DataFrame, col: str, bits: int = 1 << 23) -> bytes:
     return bytes(out)
 
 
+def literal_array(values: np.ndarray | list[int] | list[str]) -> Column:
+    """A literal array of whole numbers or of strings, none null, in Spark's binary form.
+
+    Of any other literal array, the driver writes each element into every text of a plan, level by level of the expressions
+    around it, and keeps one boxed. Of this one, texts have a short name, and tasks get its bytes.
+    """
+    n = len(values)
+    head = n.to_bytes(8, "little") + bytes(-(-n // 64) * 8)  # the count, and no bit of a null
+    if n and isinstance(values[0], str):
+        kind, raw = "string", [v.encode() for v in values]
+        sizes = np.fromiter(map(len, raw), "<i8", n)
+        room = -(-sizes // 8) * 8
+        slots = (len(head) + 8 * n + np.cumsum(room) - room << 32) | sizes
+        body = b"".join([slots.tobytes(), *(x.ljust(k, b"\0") for x, k in zip(raw, room.tolist(), strict=True))])
+    else:
+        kind, body = "bigint", np.asarray(values, "<i8").tobytes()
+    jvm = SparkContext._active_spark_context._jvm
+    array = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData()
+    array.pointTo(head + body, jvm.org.apache.spark.unsafe.Platform.BYTE_ARRAY_OFFSET, len(head + body))
+    types = jvm.org.apache.spark.sql.types.DataTypes
+    type_ = types.createArrayType(types.StringType if kind == "string" else types.LongType, False)
+    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(array, type_)))
+
+
 def map_texts(df: DataFrame, keep: list[str], text: Column, task: Callable[[], Callable[[list], list]], fields: str) -> DataFrame:
     """Columns made from a text column in Arrow batches: one pass, no shuffle; `keep` columns go through unchanged.
 
