@@ -299,6 +299,19 @@ def test_bpe_folds_long_and_repetitive_words(spark, words):
         assert x.ids == ",".join(map(str, bpe.merge_by_rule(x.w.encode(), words.ranks)))
 
 
+def test_literal_arrays(spark):
+    for values in ([], [-(1 << 62), 0, 7], list(range(130)), ["", "a", "12345678", "ü" * 9, "x" * 100], ["z"] * 65):
+        got = spark.range(1).select(common.literal_array(values).alias("v")).first().v
+        assert got == values
+
+
+def test_bpe_plans_hold_no_tables_as_text(spark, words):
+    made = spark.createDataFrame([("lowering",)], "w string").select(bpe.Literals(words).encode_word(F.col("w")).alias("ids"))
+    out = made.select("ids", bpe.digest_columns(words)["decoded_sha256"].alias("decoded"))
+    assert len(out._jdf.queryExecution().toString()) < 200_000
+    assert out.first().decoded == hashlib.sha256(b"lowering").hexdigest()
+
+
 def test_bpe_long_words(words):
     r = random.Random(5)
     for n in (25, 100, 3000):
